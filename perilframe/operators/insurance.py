@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
 from .dedup import first_per_key
-from .ordered import with_quantiles
+from .ordered import grouped_stats
 
 CLAIM_AMOUNTS = [
     "amountPaidOnBuildingClaim", "amountPaidOnContentsClaim", "amountPaidOnIncreasedCostOfComplianceClaim",
@@ -46,16 +46,16 @@ def valid_claims(claims: DataFrame, start_year: int = fv.START_YEAR, end_year: i
 def claims_entity_year(raw: DataFrame, start_year: int = fv.START_YEAR, end_year: int = fv.END_YEAR) -> DataFrame:
     claims = valid_claims(claim_amounts(raw), start_year, end_year).withColumnRenamed("yearOfLoss", "year")
     keys = ["county_fips", "year"]
-    summed = claims.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("claim_count"),
-        F.sum("total_claim_paid").alias("total_claims_paid"),
-        F.avg("total_claim_paid").alias("avg_claim_severity"),
-        F.max("total_claim_paid").alias("max_claim_severity"),
-        F.sum("total_damage").alias("total_damage_reported"),
-        F.avg("loss_ratio").alias("avg_loss_ratio"),
-        F.avg("total_coverage").alias("avg_coverage"),
-        F.avg(fc.flag(F.col("primaryResidenceIndicator") == "Y")).alias("pct_primary_residence"))
-    return with_quantiles(summed, claims, keys, "total_claim_paid", {"median_claim_severity": 0.5})
+    stats = grouped_stats(claims, keys, "total_claim_paid", {"median_claim_severity": 0.5}, {
+        "damage": F.col("total_damage"), "ratio": F.col("loss_ratio"), "coverage": F.col("total_coverage"),
+        "primary": fc.flag(F.col("primaryResidenceIndicator") == "Y")})
+    rows = F.col("n_rows")
+    return stats.select(
+        *keys, rows.alias("claim_count"), F.col("total").alias("total_claims_paid"),
+        (F.col("total") / F.col("n")).alias("avg_claim_severity"), "median_claim_severity",
+        F.col("high").alias("max_claim_severity"), F.col("damage").alias("total_damage_reported"),
+        (F.col("ratio") / rows).alias("avg_loss_ratio"), (F.col("coverage") / rows).alias("avg_coverage"),
+        (F.col("primary") / rows).alias("pct_primary_residence"))
 
 
 def policies_entity_year(raw: DataFrame) -> DataFrame:
@@ -67,14 +67,16 @@ def policies_entity_year(raw: DataFrame) -> DataFrame:
                 .withColumns({"countyCode": fc.pad_code("countyCode", 5),
                               "year": F.year(fc.timestamp("policyEffectiveDate"))})
                 .dropna(subset=keys))
-    summed = policies.groupBy(*keys).agg(
-        F.avg(money[0]).alias("avg_premium"),
-        F.coalesce(F.sum(money[0]), F.lit(0.0)).alias("total_premium"),
-        F.coalesce(F.sum(money[1]), F.lit(0.0)).alias("total_building_coverage"),
-        F.coalesce(F.sum(money[2]), F.lit(0.0)).alias("total_contents_coverage"),
-        F.coalesce(F.sum(money[3]), F.lit(0.0)).alias("policy_count"),
-        F.count(F.lit(1)).alias("n_records"))
-    return with_quantiles(summed, policies, keys, money[0], {"median_premium": 0.5})
+    stats = grouped_stats(policies, keys, money[0], {"median_premium": 0.5}, {
+        "building": F.col(money[1]), "contents": F.col(money[2]), "policies": F.col(money[3])})
+
+    def or_zero(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(0.0))
+
+    return stats.select(
+        *keys, F.try_divide("total", "n").alias("avg_premium"), "median_premium", or_zero("total").alias("total_premium"),
+        or_zero("building").alias("total_building_coverage"), or_zero("contents").alias("total_contents_coverage"),
+        or_zero("policies").alias("policy_count"), F.col("n_rows").alias("n_records"))
 
 
 def event_entity_map(events: DataFrame, order: list[Column] | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Running totals over an order too large for one task.
 
 ``Window.orderBy`` without a partition key, or with one hot key, sorts everything in a single task.
-Here each key's order is cut into buckets, every bucket is summed on its own, and the totals of the
-buckets before it are added. The bucket bounds come from a deterministic hash sample of the values, so
-every branch of the plan, and every task that is run again after an executor is lost, sees the same cut.
+Here the keyed, ordered rows are first written to a table in the scratch folder, which also gives their
+number. If no key can exceed one bucket, a plain window does the work. Otherwise the order of each large
+key is cut into buckets, every bucket is summed on its own, and the totals of the buckets before it are
+added. The bucket bounds come from a hash sample of the written values, so every branch of the plan, and
+every task that is run again after an executor is lost, sees the same cut.
 """
 
 from __future__ import annotations
@@ -12,16 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import scratch_path
+from ..sources.sinks import write_stage
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1_000
 SAMPLES_PER_BUCKET = 20
 
 
-def _touches(measures: list[str]) -> Column:
-    """Always true, but reads every measure, so that all branches share one exchange."""
-    return reduce(lambda a, b: a + b, [F.coalesce(F.col(m), F.lit(0)) for m in measures]).isNotNull()
-
-
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe key equality, so that a NULL key is a group like any other."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"{k}__r"]) for k in keys])
@@ -39,18 +39,24 @@ def ordered_totals(df: DataFrame, keys: list[str], order: str, measures: list[st
     column, a struct included. The two broadcast frames hold at most one row per full bucket, that is
     at most ``rows / rows_per_bucket`` rows: for 10^12 rows a few hundred thousand.
     """
+    outer = [F.col(c) for c in df.columns]
+    df = write_stage(df, scratch_path(df.sparkSession, "ordered"))
+    if df.count() <= rows_per_bucket:  # answered from the file footers
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        running = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*outer, *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+                         *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures])
     if not keys:
-        return ordered_totals(df.withColumn("_all", F.lit(0)), ["_all"], order, measures,
-                              rows_per_bucket, max_buckets).drop("_all")
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                 *[F.sum(m).alias(f"tot_{m}") for m in measures])
+        # A computed constant: a literal key would turn the small joins into nested loops.
+        keys, df = ["_all"], df.withColumn("_all", F.pmod(F.xxhash64(order), F.lit(1)))
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = _renamed(size.filter(F.col("_n") > rows_per_bucket)
                    .withColumn("_k", F.least(F.lit(max_buckets), F.ceil(F.col("_n") / rows_per_bucket)).cast("int"))
                    .withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_k") * SAMPLES_PER_BUCKET)))),
                    keys)
 
     sample = (df.join(F.broadcast(big), _same(df, big, keys))
-              .filter((F.pmod(F.xxhash64(order), F.col("_step")) == 0) & _touches(measures)))
+              .filter(F.pmod(F.xxhash64(order), F.col("_step")) == 0))
     bounds = (sample.groupBy(*keys)
               .agg(F.sort_array(F.collect_list(order)).alias("_s"), F.first("_k").alias("_k"))
               .select(*keys, F.expr(
@@ -73,7 +79,7 @@ def ordered_totals(df: DataFrame, keys: list[str], order: str, measures: list[st
     inside = Window.partitionBy(*keys, "_bucket")
     running = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *outer,
         *[(F.sum(m).over(running) + F.coalesce(F.col(f"_before_{m}"), F.lit(0))).alias(f"cum_{m}") for m in measures],
         *[F.coalesce(F.col(f"_total_{m}"), F.sum(m).over(inside)).alias(f"tot_{m}") for m in measures])
 
@@ -87,15 +93,18 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "
             .withColumnRenamed("cum__one", name).drop("_order", "_one", "tot__one"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-                    **options) -> DataFrame:
-    """Linearly interpolated quantiles per key, exact for groups of any size.
+def grouped_stats(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+                  sums: dict[str, Column] | None = None, **options) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per key, with count, sum, extremes and further sums.
 
-    Equal values are counted before they are ordered, so neither a hot key nor a hot value
-    gathers in one task.
+    Equal values are counted before they are ordered, so neither a hot key nor a hot value gathers in
+    one task. All figures come from the one ordered pass: ``n_rows`` (all rows), ``n`` (known values),
+    ``total``, ``low``, ``high``, the quantiles, and one column per entry of ``sums``.
     """
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
+    sums = sums or {}
+    counted = (df.groupBy(*keys, F.col(value).cast("double").alias("_v"))
+               .agg(F.count(value).alias("_c"), F.count(F.lit(1)).alias("_rows"),
+                    *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]))
     placed = ordered_totals(counted, keys, "_v", ["_c"], **options)
     picks = []
     for name, q in quantiles.items():
@@ -103,13 +112,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
         for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("cum__c") - F.col("_c") <= pos) & (pos < F.col("cum__c"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{name}"))
-    picked = placed.groupBy(*keys).agg(F.max("tot__c").alias("_n"), *picks)
+    picked = placed.groupBy(*keys).agg(
+        F.sum("_rows").alias("n_rows"), F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("total"),
+        F.min("_v").alias("low"), F.max("_v").alias("high"), *picks,
+        *[F.sum(f"_s_{n}").alias(n) for n in sums])
     out = []
     for name, q in quantiles.items():
-        at = F.lit(float(q)) * (F.col("_n") - 1)
+        at = F.lit(float(q)) * (F.col("n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return picked.select(*keys, *out)
+    return picked.select(*keys, "n_rows", "n", "total", "low", "high", *out, *sums)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+                    **options) -> DataFrame:
+    """Linearly interpolated quantiles per key, exact for groups of any size."""
+    known = df.filter(F.col(value).isNotNull())
+    return grouped_stats(known, keys, value, quantiles, **options).select(*keys, *quantiles)
 
 
 def with_quantiles(aggregated: DataFrame, df: DataFrame, keys: list[str], value: str,
