@@ -1,4 +1,4 @@
 """Bindings of every operator to the given tables."""
 
-from . import bind_aggregates, bind_columns, bind_windows, bind_metrics  # noqa: F401
+from . import bind_aggregates, bind_columns, bind_metrics, bind_sources, bind_windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -49,9 +49,9 @@ def _(t: Tables):
     return mt.regression_metrics(_lines(t), ["grp"], "y", "p")
 
 
-@register("residual_diagnostics", f"""SELECT l_orderkey, l_linenumber, {rnd('y - p', 3)} AS residual, {rnd('(y - p) / sqrt(p * 1.447)', 3)} AS pearson_residual,
- {rnd('sqrt(abs((y - p) / sqrt(p * 1.447)))', 3)} AS sqrt_abs_residual, {rnd('abs((y - p) / CASE WHEN y > 0 THEN y ELSE 1.0 END) * 100', 3)} AS abs_pct_error
- FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_quantity * CAST(2100.7371 AS DOUBLE) * (1 - l_discount) AS p FROM lineitem)""", digits=3)
+@register("residual_diagnostics", f"""SELECT l_orderkey, l_linenumber, {rnd('y - p', 6)} AS residual, {rnd('(y - p) / sqrt(p * 1.447)', 6)} AS pearson_residual,
+ {rnd('sqrt(abs((y - p) / sqrt(p * 1.447)))', 6)} AS sqrt_abs_residual, {rnd('abs((y - p) / CASE WHEN y > 0 THEN y ELSE 1.0 END) * 100', 6)} AS abs_pct_error
+ FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_quantity * CAST(2100.7371 AS DOUBLE) * (1 - l_discount) AS p FROM lineitem)""", digits=6)
 def _(t: Tables):
     return mt.residuals(_lines(t), "y", "p", 1.447).drop("grp", "y", "p")
 
@@ -134,14 +134,13 @@ def _(t: Tables):
 KS = ["total_disasters", "cum_disasters_3yr", "disaster_exposure_index", "avg_incident_duration", "total_population", "avg_claim_severity_lag1", "CPIAUCSL"]
 
 
-@register("ks_two_sample", with_views(f"""SELECT feature, {rnd('max(abs(ca / ta - cb / tb))', 8)} AS ks_statistic, CAST(max(ta) AS BIGINT) AS n_train, CAST(max(tb) AS BIGINT) AS n_test, {', '.join(f"{rnd(f'max({c})')} AS {c}" for c in ('train_mean', 'train_std', 'test_mean', 'test_std'))} FROM
+@register("ks_two_sample", with_views(f"""SELECT feature, {rnd('max(abs(ca / ta - cb / tb))', 6)} AS ks_statistic, CAST(max(ta) AS BIGINT) AS n_train, CAST(max(tb) AS BIGINT) AS n_test, {', '.join(f"{rnd(f'max({c})', 6)} AS {c}" for c in ('train_mean', 'train_std', 'test_mean', 'test_std'))} FROM
  (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY feature) AS ta, sum(b) OVER (PARTITION BY feature) AS tb FROM
  (SELECT feature, value, CAST(count(*) FILTER (tr = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (tr = 0) AS DOUBLE) AS b FROM u GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY value)) JOIN
  (SELECT feature, avg(value) FILTER (tr = 1) AS train_mean, stddev_pop(value) FILTER (tr = 1) AS train_std, avg(value) FILTER (tr = 0) AS test_mean, stddev_pop(value) FILTER (tr = 0) AS test_std FROM u GROUP BY 1) USING (feature) GROUP BY 1""", "pf",
-    extra=f"""u AS (UNPIVOT (SELECT CASE WHEN year <= {CUT} THEN 1 ELSE 0 END AS tr, {', '.join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in KS)} FROM pf) ON {', '.join(f'"{c}"' for c in KS)} INTO NAME feature VALUE value)"""))
+    extra=f"""u AS (UNPIVOT (SELECT CASE WHEN year <= {CUT} THEN 1 ELSE 0 END AS tr, {', '.join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in KS)} FROM pf) ON {', '.join(f'"{c}"' for c in KS)} INTO NAME feature VALUE value)"""), digits=6)
 def _(t: Tables):
-    found = mt.ks_two_sample(t.panel_features(), KS, F.col("year") <= CUT).drop("ks_pvalue", "significant_shift")
-    return found.withColumn("ks_statistic", F.round("ks_statistic", 8))
+    return mt.ks_two_sample(t.panel_features(), KS, F.col("year") <= CUT).drop("ks_pvalue", "significant_shift")
 
 
 @register("distribution_shift_pvalues", digits=8)

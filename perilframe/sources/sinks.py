@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -16,9 +16,13 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     return df.sparkSession.read.schema(df.schema).options(**options).format(fmt).load(path)
 
 
-def overwrite_years(df: DataFrame, path: str, column: str = "year") -> None:
-    """Replace only the years present in ``df``; other year partitions stay as they are."""
-    (df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def overwrite_years(df: DataFrame, path: str, column: str = "year", files_per_year: int = 8) -> None:
+    """Replace only the years present in ``df``; other year partitions stay as they are.
+
+    Rows of a year are spread over a few files, so the largest year is not one task's work.
+    """
+    slot = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
+    (df.repartition(F.col(column), slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(column).parquet(path))
 
 
