@@ -54,7 +54,8 @@ class Tables:
         return cls._cache[key]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # The handle is kept so that the schema is read from the footers once.
+        return self.once(f"table:{name}", lambda: self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     def stage(self, name: str, build) -> DataFrame:
         """Write a view to the shared scratch folder on first use; later queries read the files."""
