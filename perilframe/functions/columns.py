@@ -26,7 +26,7 @@ def flag(condition: Column) -> Column:
 def zero_pad(c, width: int) -> Column:
     """Left-pad with zeros up to ``width``; longer values are kept whole."""
     c = as_col(c).cast("string")
-    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+    return F.lpad(c, F.greatest(F.length(c), F.lit(width)), F.lit("0"))
 
 
 def pad_code(c, width: int, missing: str | None = None) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..operators import metrics as mt
 from ..operators import splits as sp
+from ..session import scratch_path
+from ..sources.sinks import write_stage
 from . import features as ft
 from .glm import Prepared, with_score
 
@@ -36,10 +38,10 @@ FOREST = TreeSettings(trees=500, depth=10, subsample=1.0)
 
 def prepare(labelled: DataFrame, features: list[str] = fv.PREDICTIVE_FEATURES, label: str = "uninsurability_risk",
             cut: int = fv.TRAIN_YEAR_MAX, regions: bool = True, keep: tuple[str, ...] = ("county_fips", "year", "state", "fema_region"),
-            train_rows=None) -> Prepared:
+            train_rows=None, fill: dict | None = None) -> Prepared:
     """Region indicators, median imputation fitted on the training rows, split and assembly.
 
-    ``train_rows`` overrides the temporal rule that marks the training part.
+    ``train_rows`` overrides the temporal rule that marks the training part, ``fill`` the medians.
     """
     wide = ft.region_dummies(labelled)
     names = ft.available(wide, features) + ([f"fema_region_{r}" for r in fv.REGIONS] if regions else [])
@@ -48,11 +50,16 @@ def prepare(labelled: DataFrame, features: list[str] = fv.PREDICTIVE_FEATURES, l
     rows = wide.select(*kept, F.col(label).cast("double").alias("label"),
                        F.when(in_train, "train").otherwise("test").alias("split"),
                        *[F.col(n).cast("double").alias(n) for n in names if n not in kept])
-    numeric = [n for n in names if not n.startswith("fema_region_")]
-    filled = ft.impute(rows, ft.medians(rows.filter(F.col("split") == "train"), numeric))
+    if fill is None:
+        fill = ft.medians(rows.filter(F.col("split") == "train"), numeric_features(labelled, features))
+    filled = ft.impute(rows, fill)
     return Prepared(ft.assemble(filled, names), names)
 
 
+def numeric_features(df: DataFrame, features: list[str] = fv.PREDICTIVE_FEATURES) -> list[str]:
+    return ft.available(df, features)
+
+
 def boosting(s: TreeSettings = BOOSTING) -> GBTClassifier:
     return GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=s.trees, maxDepth=s.depth,
                          stepSize=s.rate, subsamplingRate=s.subsample, minInstancesPerNode=s.min_leaf,
@@ -76,7 +83,7 @@ def fit(estimator, train: DataFrame):
 
 def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
     """ROC area, average precision, Brier score, Youden threshold and F1 at it, per key."""
-    ranks = mt.rank_metrics(scored, keys, "label", "score").persist()
+    ranks = mt.rank_metrics(scored, keys, "label", "score")
     at = scored.join(ranks.select(*keys, "optimal_threshold"), keys)
     f1 = mt.f1(mt.confusion(at, keys, "label", "score", F.col("optimal_threshold")), keys)
     return ranks.join(mt.brier(scored, keys, "label", "score"), keys).join(f1, keys)
@@ -84,7 +91,7 @@ def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def cross_validate(data: DataFrame, estimator, keys: list[str], k: int = 5, seed: int = 42, name: str = "model") -> DataFrame:
     """Stratified folds; every fold is scored by a model that has not seen it, and all are measured together."""
-    folded = sp.kfold(data, keys, k, seed, within=["label"]).persist()
+    folded = write_stage(sp.kfold(data, keys, k, seed, within=["label"]), scratch_path(data.sparkSession, "folds"))
     parts = []
     for fold in range(1, k + 1):
         model = fit(estimator, folded.filter(F.col("fold") != fold))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
-from ..operators.ordered import exact_quantiles
+from ..operators.ordered import exact_quantiles, ordered_totals
 
 
 def scale_units(df: DataFrame, divisors: dict[str, float] = fv.UNIT_DIVISORS) -> DataFrame:
@@ -37,6 +37,33 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     return {r["feature"]: r["median"] for r in rows}
 
 
+def medians_without(df: DataFrame, columns: list[str], group: str, values: list) -> dict:
+    """For each value of ``group``: the medians of all rows outside it.
+
+    One ordered pass serves every fold: each (column, value) pair carries one count per fold, and the
+    running totals of all counts are taken together. No row is copied into the folds it belongs to.
+    """
+    tall = (df.select(F.col(group).alias("_g"), *[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot(["_g"], columns, "feature", "value").filter(F.col("value").isNotNull()))
+    names = [f"c{i}" for i in range(len(values))]
+    counted = tall.groupBy("feature", "value").agg(
+        *[F.count_if(F.coalesce(F.col("_g") != v, F.lit(True))).alias(n) for n, v in zip(names, values)])
+    placed = ordered_totals(counted, ["feature"], "value", names)
+    picks = []
+    for n in names:
+        at = (F.col(f"tot_{n}") - 1) / 2
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (F.col(f"cum_{n}") - F.col(n) <= pos) & (pos < F.col(f"cum_{n}"))
+            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}_{n}"))
+    rows = placed.groupBy("feature").agg(*picks).collect()  # one row per feature
+    out = {v: dict.fromkeys(columns) for v in values}
+    for r in rows:
+        for n, v in zip(names, values):
+            lo, hi = r[f"lo_{n}"], r[f"hi_{n}"]
+            out[v][r["feature"]] = None if lo is None else (lo + hi) / 2
+    return out
+
+
 def impute(df: DataFrame, fill: dict[str, float | None]) -> DataFrame:
     """Replace missing values; a column that was never known in training becomes 0."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0 if v is None else v)) for c, v in fill.items()})

@@ -14,6 +14,8 @@ from ..functions import columns as fc
 from ..functions import fixed_values as fv
 from ..operators import metrics as mt
 from ..operators import splits as sp
+from ..session import scratch_path
+from ..sources.sinks import write_stage
 from . import features as ft
 
 
@@ -161,7 +163,8 @@ def tweedie_power_search(data: Prepared, powers=(1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1
 
 def cross_validate_gamma(data: Prepared, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Out-of-fold RMSE and MAE per fold; all folds are measured in one aggregate."""
-    folded = sp.kfold(data.frame, keys, k, seed).persist()
+    spark = data.frame.sparkSession
+    folded = write_stage(sp.kfold(data.frame, keys, k, seed), scratch_path(spark, "folds"))
     parts = []
     for fold in range(1, k + 1):
         model = fit_glm(folded.filter(F.col("fold") != fold), "gamma")

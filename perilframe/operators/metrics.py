@@ -94,14 +94,6 @@ def rank_metrics(df: DataFrame, keys: list[str], y: str, score: str, **options)
                        "optimal_threshold", "positives", "negatives")
 
 
-def trapezoid_area(curve: DataFrame) -> DataFrame:
-    """Area under a ROC curve of bounded size, for cross-checks."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy("fpr", "tpr")
-    step = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.withColumn("_a", step).agg(F.sum("_a").alias("auc_roc"))
-
-
 # ---- at a threshold -------------------------------------------------------------------------------
 def confusion(df: DataFrame, keys: list[str], y: str, score: str, threshold: Column | float) -> DataFrame:
     hit = F.col(score) >= (threshold if isinstance(threshold, Column) else F.lit(threshold))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as fc
-from .ordered import positions
 
 
 def temporal(df: DataFrame, cut: int, year: str = "year", name: str = "split") -> DataFrame:
@@ -18,11 +17,32 @@ def tail_months(series: DataFrame, months: int, date: str = "date", keys: list[s
     return series.withColumn("split", F.when(F.col(date) <= F.add_months(end, -months), "train").otherwise("test"))
 
 
+#: Hex digits of the shuffle key that form a slice: 65,536 slices of equal expected size.
+SLICE_DIGITS = 4
+
+
+def shuffled_place(df: DataFrame, keys: list[str], seed: int = 42, within: list[str] | None = None,
+                   name: str = "place") -> DataFrame:
+    """1-based place of each row in a shuffled order, within each class if ``within`` is given.
+
+    The shuffle key is a hash, so its leading digits cut the rows into even slices, hot classes
+    included. Rows are numbered inside their slice and shifted by the size of the slices before it;
+    the broadcast side has one row per slice and class.
+    """
+    groups = within or []
+    hashed = df.withColumn("_h", fc.random_order(*keys, seed=seed)).withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
+    sizes = hashed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_slice")
+    offsets = sizes.select(*groups, "_slice", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy(*groups, "_slice").orderBy("_h", *keys)
+    return (hashed.join(F.broadcast(offsets), [*groups, "_slice"])
+            .withColumn(name, F.row_number().over(inside) + F.col("_before")).select(*df.columns, name))
+
+
 def kfold(df: DataFrame, keys: list[str], k: int, seed: int = 42, within: list[str] | None = None,
-          name: str = "fold", **options) -> DataFrame:
+          name: str = "fold") -> DataFrame:
     """Shuffled folds of equal size; with ``within``, equal inside each class as well."""
-    order = [fc.random_order(*keys, seed=seed), *[F.col(c) for c in keys]]
-    placed = positions(df, within or [], order, name="_place", **options)
+    placed = shuffled_place(df, keys, seed, within, "_place")
     return placed.withColumn(name, (F.col("_place") % k + 1).cast("int")).drop("_place")
 
 
