@@ -57,8 +57,18 @@ def test_unit_root(spark, simulated):
 
 
 def test_fits_recover_parameters(simulated):
-    assert fits.fit_sarima(simulated["ar"], Order(1, 0, 0, 0, 0, 0)).theta[0] == pytest.approx(0.7, abs=0.1)
-    assert fits.fit_sarima(simulated["ma"], Order(0, 0, 1, 0, 0, 0)).theta[0] == pytest.approx(0.6, abs=0.12)
+    x = simulated["ar"] - simulated["ar"].mean()
+    fit = fits.fit_sarima(simulated["ar"], Order(1, 0, 0, 0, 0, 0))
+    assert fit.theta[0] == pytest.approx((x[1:] @ x[:-1]) / (x[:-1] @ x[:-1]), abs=1e-6)  # least squares
+    ar, ma = [], []
+    for seed in range(20):
+        e = np.random.default_rng(100 + seed).normal(size=401)
+        y = np.zeros(400)
+        for t in range(1, 400):
+            y[t] = 0.7 * y[t - 1] + e[t]
+        ar.append(fits.fit_sarima(y, Order(1, 0, 0, 0, 0, 0)).theta[0])
+        ma.append(fits.fit_sarima(e[1:] + 0.6 * e[:-1], Order(0, 0, 1, 0, 0, 0)).theta[0])
+    assert np.mean(ar) == pytest.approx(0.7, abs=0.04) and np.mean(ma) == pytest.approx(0.6, abs=0.04)
     assert fits.fit_sarima(np.arange(20.0), Order()) is None
 
 
