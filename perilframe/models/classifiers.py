@@ -21,7 +21,7 @@ from .glm import Prepared, with_score
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Tree sizes. The defaults are the reference sizes; small data is served by smaller ones."""
+    """Tree sizes. The defaults suit full panels; small data is served by smaller ones."""
 
     trees: int = 300
     depth: int = 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions import stats as st
 from ..functions.fixed_values import PROBABILITY_EDGES
 from ..operators import metrics as mt
 from ..operators import panel as pn
@@ -56,7 +57,24 @@ def _(t: Tables):
     return mt.residuals(_lines(t), "y", "p", 1.447).drop("grp", "y", "p")
 
 
-@register("qq_points", digits=6)
+def _horner(coefficients: list[float], x: str) -> str:
+    text = f"CAST('{coefficients[0]!r}' AS DOUBLE)"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + CAST('{c!r}' AS DOUBLE))"
+    return text
+
+
+def _normal_quantile_sql() -> str:
+    """The oracle's inverse normal over columns p, q = p - 0.5, r = q * q and the tail arguments lo, hi."""
+    def tail(x: str) -> str:
+        return f"{_horner(st._C, x)} / {_horner(st._D + [1.0], x)}"
+    return f"CASE WHEN p < 0.02425 THEN {tail('lo')} WHEN p > 1 - 0.02425 THEN -({tail('hi')}) ELSE {_horner(st._A, 'r')} * q / {_horner(st._B + [1.0], 'r')} END"
+
+
+@register("qq_points", f"""WITH s AS (SELECT (y - p) / sqrt(p * CAST(1.447 AS DOUBLE)) AS sample FROM (SELECT l_extendedprice AS y, l_quantity * CAST(2100.7371 AS DOUBLE) * (1 - l_discount) AS p FROM lineitem)),
+o AS (SELECT sample, row_number() OVER (ORDER BY sample) AS place, count(*) OVER () AS n FROM s),
+g AS (SELECT *, CAST(0.001 AS DOUBLE) + (place - 1) * (CAST(0.998 AS DOUBLE) / greatest(n - 1, 1)) AS p FROM o)
+SELECT place, {rnd('sample', 6)} AS sample, {rnd(_normal_quantile_sql(), 6)} AS theoretical FROM (SELECT *, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(p)) AS lo, sqrt(-2 * ln(1 - p)) AS hi FROM g)""", digits=6)
 def _(t: Tables):
     scaled = mt.residuals(_lines(t), "y", "p", 1.447)
     return mt.qq_points(scaled, [], "pearson_residual", [F.col("l_orderkey"), F.col("l_linenumber")])

@@ -12,6 +12,7 @@ from ..operators import panel as pn
 from ..session import scratch_path
 from ..sources import readers as rd
 from ..sources import sinks as sk
+from .bind_metrics import AP, AUC, LS, YOUDEN, over
 from .registry import register, rnd
 from .tables import END, START, Tables, pad_sql, with_views
 
@@ -118,7 +119,8 @@ def _(t: Tables):
     return sk.write_stage(ev.state_month(t.events()), scratch_path(t.spark, "state-month"), fmt="csv", header=True)
 
 
-@register("sink_metric_tables", digits=6)
+@register("sink_metric_tables", over("ls", LS, f"""SELECT grp, {rnd(AUC, 6)} AS auc_roc, {rnd(AP, 6)} AS avg_precision, {rnd(YOUDEN, 6)} AS optimal_threshold,
+ CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives FROM pt GROUP BY 1""", "grp"), digits=6)
 def _(t: Tables):
     curve = mt.roc_curve(t.line_scores(), ["grp"], "y", "score")
     metrics = mt.rank_metrics(t.line_scores(), ["grp"], "y", "score")
