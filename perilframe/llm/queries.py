@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilframe.llm import quality
+from perilframe.llm import bpe, packing, quality, sharding, warc
 from perilframe.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the package that holds the files is installed on every machine."""
+    return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(*quality.CONTRACT)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.oracle(),
+    "op6_warc": warc.ORACLE,
 }
