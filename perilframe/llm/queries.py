@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilframe.llm import bpe, packing, quality, sharding, warc
+from perilframe.llm import bpe, minhash, packing, quality, sharding, vectors, warc
 from perilframe.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -37,15 +41,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_vectors": op3_near_vectors,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_sharding": op9_sharding,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_vectors": vectors.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op6_warc": warc.ORACLE,
 }
