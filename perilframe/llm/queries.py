@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilframe.llm import bpe, minhash, packing, quality, sharding, vectors, warc
+from perilframe.llm import bpe, minhash, packing, pii, quality, sharding, vectors, warc
 from perilframe.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_dart_minhash": op10_dart_minhash,
 }
