@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilframe.llm import bpe, minhash, packing, pii, quality, sharding, vectors, warc
+from perilframe.llm import bpe, html, licences, minhash, packing, pii, quality, sharding, vectors, warc
 from perilframe.llm.common import table
 
 
@@ -17,6 +17,14 @@ def vocabulary(name: str) -> str:
     return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +58,8 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
+    "op2_main_text": op2_main_text,
     "op3_near_vectors": op3_near_vectors,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
@@ -61,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_licences": licences.oracle(),
     "op3_near_vectors": vectors.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op6_warc": warc.ORACLE,
