@@ -154,6 +154,16 @@ def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
         *[rule.holds().alias(f"rule_{rule.name}") for rule in rules])
 
 
+def kept(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df``, all columns, that pass."""
+    whole = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"))
+    figures = measured(whole.withColumn("text", F.col("row.text")), keep=("row",))
+    # A column that depends on the row's place keeps the figures out of the filter, where the optimizer would write
+    # them out once for every use.
+    placed = figures.withColumn("place", F.monotonically_increasing_id())
+    return placed.where(verdict(rules) & (F.col("place") >= 0)).select("row.*")
+
+
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     stops = ", ".join(f"'{word}'" for word in STOP_WORDS)
     kept = " AND ".join(rule.sql() for rule in rules)
