@@ -167,6 +167,7 @@ def kept(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     stops = ", ".join(f"'{word}'" for word in STOP_WORDS)
     kept = " AND ".join(rule.sql() for rule in rules)
+    gram = " || ' ' || ".join(["w", *[f"lead(w, {place}) OVER following" for place in range(1, WINDOW)]])
     return rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -174,9 +175,11 @@ WITH base AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM base
+), placed AS (
+  SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM parts
 ), windows AS (
-  SELECT rid, i AS pos, array_to_string(list_slice(words, i, i + 7), ' ') AS gram
-  FROM parts, unnest(range(1, len(words) - 6)) AS u(i)
+  SELECT rid, pos, {gram} AS gram FROM placed
+  WINDOW following AS (PARTITION BY rid ORDER BY pos) QUALIFY gram IS NOT NULL
 ), again AS (
   SELECT rid, pos FROM windows QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1
 ), covered AS (
