@@ -35,14 +35,18 @@ CLOSING_ID = 2
 #: Windows of one group: the piece lengths of a group are what one task holds.
 WINDOWS = 1024
 #: Parts of texts a worker remembers.
-CACHED = 400_000
+CACHED = 1_000_000
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 class Words(dict):
-    """Text between white space, lower-cased -> its ids as little-endian unsigned 32-bit integers."""
+    """Text between white space, lower-cased -> its ids as little-endian unsigned 32-bit integers.
+
+    A word of Latin letters is one pre-token, so its merges are asked for directly; a full stop or comma after it is a
+    pre-token of its own. Everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,14 +54,49 @@ class Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.visible = byte_letters()
+        self.stops = {mark: self._packed(self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,"}
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return b"".join([number.to_bytes(4, "little") for number in ids])
+
+    def _letters(self, word: str) -> bytes:
+        known = self.get(word)
+        if known is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+            known = self[word] = self._packed([token.id for token in self.model.tokenize(shown)])
+        return known
 
     def learn(self, words: set[str]) -> None:
-        """Encode those of ``words`` that are not known, all at once."""
+        """Encode those of ``words`` that are not known."""
         if len(self) > CACHED:
             self.clear()
-        new = [word for word in words if word not in self]
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = b"".join(number.to_bytes(4, "little") for number in encoding.ids)
+        others = []
+        for word in words:
+            if word in self:
+                continue
+            stop = word[-1:] if word[-1:] in self.stops else ""
+            core = word[:-1] if stop else word
+            if core.isalpha() and max(core) < LATIN_END:
+                self[word] = self._letters(core) + self.stops.get(stop, b"")
+            else:
+                others.append(word)
+        for word, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self[word] = self._packed(encoding.ids)
+
+
+#: Letters below this code point are composed, so normalising leaves them alone.
+LATIN_END = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary: bytes that show none get the next
+    free ones from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(256 + place) for place, byte in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
