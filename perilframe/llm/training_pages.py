@@ -31,11 +31,14 @@ def paragraph(start: int) -> str:
     text = prose(start, LENGTHS[start % len(LENGTHS)])
     if start % 5 == 4:
         text = text.replace(".", "").replace(";", "")
-    return " ".join(text.split()[:3]) if start % 11 == 10 else text
+    return " ".join(text.split()[:1 + start % 6]) if start % 4 == 3 else text
 
 
 def body(start: int) -> str:
     """Headings, paragraphs of any length, a list, a quotation and a table."""
+    if start % 6 == 5:  # some articles are a line or two
+        return f"<h1>{' '.join(SENTENCES[start % 8].split()[:1 + start % 5])}</h1>" * (start % 4 != 3) + "".join(
+            f"<p>{' '.join(SENTENCES[(start + place) % 8].split()[:1 + start % 13])}</p>" for place in range(1 + start % 3))
     kind = start % 4
     text = f"<h1>{prose(start, 1)}</h1>" * (start % 7 != 6) + "".join(
         f"<p>{paragraph(start * 3 + place)}</p>" for place in range(1 + start % 9))
@@ -54,7 +57,7 @@ def _main(opening: str, closing: str):
 
 
 MAIN = (
-    _main("article", "article"), _main('article class="post entry"', "article"), _main("main", "main"),
+    _main("article", "article"), _main("article", "article"), _main('article class="post entry"', "article"), _main("main", "main"),
     _main('div id="content"', "div"), _main('div class="article-body story text"', "div"),
     _main('section class="post-content entry-content"', "section"), _main('div class="main"', "div"), _main("div", "div"),
     _main('div itemprop="articleBody"', "div"), _main('div class="page-body copy"', "div"),

@@ -151,13 +151,13 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK)
 ORACLE = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-), s AS (
+), s AS MATERIALIZED (
   SELECT vec_id, e FROM v
   WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9
 ), r AS (
   SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 ), c AS (
