@@ -159,3 +159,9 @@ SEVERITY_FEATURES = [
     "median_home_value", "pct_occupied_housing", "avg_premium", "policy_count", "claims_per_policy",
     "MORTGAGE30US", "CSUSHPINSA", "CPIAUCSL",
 ]
+
+#: Features of the surge threshold study.
+SURGE_STUDY_FEATURES = [
+    "total_disasters_lag1", "claim_count_lag1", "avg_claim_severity_lag1", "cum_disasters_3yr", "total_population",
+    "median_household_income", "median_home_value", "unemployment_rate", "MORTGAGE30US", "CSUSHPINSA", "CPIAUCSL", "FEDFUNDS",
+]

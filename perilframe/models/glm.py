@@ -106,7 +106,7 @@ def coefficient_table(model, features: list[str], name: str) -> DataFrame:
     for feature, beta, se in zip(names, betas, sigmas):
         z = beta / se if se > 0 else float("nan")
         p = normal_two_sided(z)
-        safe = [math.exp(min(v, 700.0)) for v in (beta, beta - 1.959963984540054 * se, beta + 1.959963984540054 * se)]
+        safe = [math.exp(v) if v < 709.0 else math.inf for v in (beta, beta - 1.959963984540054 * se, beta + 1.959963984540054 * se)]
         rows.append((feature, float(beta), float(se), float(z), p, *safe, p < 0.05, name))
     return spark.createDataFrame(rows, "feature string, coefficient double, std_err double, z_value double, p_value double, "
                                        "exp_coef double, ci_lower double, ci_upper double, significant boolean, model string")
@@ -116,10 +116,8 @@ def evaluate_glm(model, test: DataFrame, name: str, n_train: int) -> DataFrame:
     """Test errors beside the fit statistics of the training summary."""
     s = model.summary
     errors = mt.regression_metrics(predict_severity(model, test), [], "label", "predicted")
-    try:
-        aic = float(s.aic)
-    except Exception:  # Spark defines no AIC for the tweedie family
-        aic = None
+    # Spark defines no AIC for the tweedie family.
+    aic = None if model.getFamily() == "tweedie" else float(s.aic)
     return errors.select(F.lit(name).alias("model"), F.lit(aic).cast("double").alias("aic"), F.lit(float(s.deviance)).alias("deviance"),
                          F.lit(float(s.dispersion)).alias("scale"), F.col("rmse").alias("test_rmse"), F.col("mae").alias("test_mae"),
                          F.col("r2").alias("test_r2"), F.col("mape").alias("test_mape"), F.lit(n_train).alias("n_train"), F.col("n").alias("n_test"))

@@ -100,19 +100,19 @@ def category_counts(events: DataFrame, categories: list[str] = fv.CATEGORIES) ->
 def entity_year_with_types(events: DataFrame, categories: list[str] = fv.CATEGORIES) -> DataFrame:
     """The entity-year figures together with the category counts, from one pass over the events.
 
-    Counts belong to (entity, year) even where several state labels share an entity code; the sum
-    over that pair restores this and leaves the rows partitioned for the panel joins.
+    Counts belong to (entity, year) even where several state labels share an entity code or an event has
+    no state; the sum over that pair restores this and leaves the rows partitioned for the panel joins.
     """
     counts = {count_column(c): c for c in categories}
     both = (events.filter(~F.col("is_statewide")).withColumnRenamed("declaration_year", "year")
-            .dropna(subset=[*ENTITY, "year"]).groupBy(*ENTITY, "year")
+            .dropna(subset=["county_fips", "year"]).groupBy(*ENTITY, "year")
             .agg(F.count_distinct("disasterNumber").alias("total_disasters"),
                  F.count_distinct("disaster_category").alias("disaster_types"),
                  F.avg("incident_duration_days").alias("avg_incident_duration"),
                  F.max("incident_duration_days").alias("max_incident_duration"),
                  *[F.count_if(F.col("disaster_category") == c).alias(n) for n, c in counts.items()]))
     pair = Window.partitionBy("county_fips", "year")
-    return both.withColumns({n: F.sum(n).over(pair) for n in counts}).select(
+    return both.withColumns({n: F.sum(n).over(pair) for n in counts}).dropna(subset=ENTITY).select(
         "county_fips", "year", "fipsStateCode", "state", "total_disasters", "disaster_types",
         "avg_incident_duration", "max_incident_duration", *counts)
 

@@ -1,87 +1,45 @@
 """Running totals over an order too large for one task.
 
 ``Window.orderBy`` without a partition key, or with one hot key, sorts everything in a single task.
-Here the keyed, ordered rows are first written to a table in the scratch folder, which also gives their
-number. If no key can exceed one bucket, a plain window does the work. Otherwise the order of each large
-key is cut into buckets, every bucket is summed on its own, and the totals of the buckets before it are
-added. The bucket bounds come from a hash sample of the written values, so every branch of the plan, and
-every task that is run again after an executor is lost, sees the same cut.
+Here the keyed, ordered rows are range-partitioned on (keys, order) and written to a table in the scratch
+folder, together with the number of the partition each row is in. Every part of a key is then summed on its
+own, and the totals of the parts before it are added. All sizes and keys take this one path. The cut is fixed
+by the written table, so every branch of the plan, and every task that is run again after an executor is
+lost, sees the same one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import scratch_path
 from ..sources.sinks import write_stage
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1_000
-SAMPLES_PER_BUCKET = 20
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe key equality, so that a NULL key is a group like any other."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"{k}__r"]) for k in keys])
-
-
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{k}__r" for k in keys})
-
 
 def ordered_totals(df: DataFrame, keys: list[str], order: str, measures: list[str],
-                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running total by ascending ``order``) and ``tot_<m>`` per key.
 
     ``df`` holds one row per (keys, order); aggregate to that first. ``order`` may be any orderable
-    column, a struct included. The two broadcast frames hold at most one row per full bucket, that is
-    at most ``rows / rows_per_bucket`` rows: for 10^12 rows a few hundred thousand.
+    column, a struct included. ``parts`` is the number of ranges; by default Spark takes its number of
+    shuffle partitions, and joins ranges that are small. The table of totals has one row per key and range
+    that holds some of it, so at most keys + ranges rows.
     """
     outer = [F.col(c) for c in df.columns]
-    df = write_stage(df, scratch_path(df.sparkSession, "ordered"))
-    if df.count() <= rows_per_bucket:  # answered from the file footers
-        whole = Window.partitionBy(*(keys or [F.lit(0)]))
-        running = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*outer, *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
-                         *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures])
-    if not keys:
-        # A computed constant: a literal key would turn the small joins into nested loops.
-        keys, df = ["_all"], df.withColumn("_all", F.pmod(F.xxhash64(order), F.lit(1)))
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = _renamed(size.filter(F.col("_n") > rows_per_bucket)
-                   .withColumn("_k", F.least(F.lit(max_buckets), F.ceil(F.col("_n") / rows_per_bucket)).cast("int"))
-                   .withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_k") * SAMPLES_PER_BUCKET)))),
-                   keys)
-
-    sample = (df.join(F.broadcast(big), _same(df, big, keys))
-              .filter(F.pmod(F.xxhash64(order), F.col("_step")) == 0))
-    bounds = (sample.groupBy(*keys)
-              .agg(F.sort_array(F.collect_list(order)).alias("_s"), F.first("_k").alias("_k"))
-              .select(*keys, F.expr(
-                  "transform(sequence(1, _k - 1), i -> _s[cast(floor(i * size(_s) / _k) as int)])").alias("_bounds")))
-    bounds = _renamed(bounds, keys)
-    cut = (df.join(F.broadcast(bounds), _same(df, bounds, keys), "left")
-           .withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-               F.size(F.filter("_bounds", lambda b: b < F.col(order)))))
-           .drop("_bounds", *[f"{k}__r" for k in keys]))
-
-    in_order = Window.partitionBy(*keys).orderBy("_bucket")
-    per_bucket = (df.join(F.broadcast(bounds), _same(df, bounds, keys))
-                  .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-                  .groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-                  .select(*[F.col(k).alias(f"{k}__r") for k in keys], F.col("_bucket").alias("_bucket__r"),
-                          *[(F.sum(m).over(in_order) - F.col(m)).alias(f"_before_{m}") for m in measures],
-                          *[F.sum(m).over(Window.partitionBy(*keys)).alias(f"_total_{m}") for m in measures]))
-    joined = cut.join(F.broadcast(per_bucket),
-                      _same(cut, per_bucket, keys) & (cut["_bucket"] == per_bucket["_bucket__r"]), "left")
-    inside = Window.partitionBy(*keys, "_bucket")
-    running = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
-        *outer,
-        *[(F.sum(m).over(running) + F.coalesce(F.col(f"_before_{m}"), F.lit(0))).alias(f"cum_{m}") for m in measures],
-        *[F.coalesce(F.col(f"_total_{m}"), F.sum(m).over(inside)).alias(f"tot_{m}") for m in measures])
+    cut = [*[F.col(k) for k in keys], F.col(order)]
+    ranged = df.repartitionByRange(parts, *cut) if parts else df.repartitionByRange(*cut)
+    written = write_stage(ranged.withColumn("_part", F.spark_partition_id()), scratch_path(df.sparkSession, "ordered"))
+    # Null keys are groups like any other, so a struct stands for the key: structs with null fields are equal.
+    keyed = written.withColumn("_key", F.struct(F.lit(0).alias("_all"), *keys))
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy("_key", "_part").agg(*[F.sum(m).alias(m) for m in measures]).select(
+        "_key", "_part", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
+        *[F.sum(m).over(whole).alias(f"_total_{m}") for m in measures])
+    running = Window.partitionBy("_key", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return keyed.join(totals, ["_key", "_part"]).select(
+        *outer, *[(F.sum(m).over(running) + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in measures],
+        *[F.col(f"_total_{m}").alias(f"tot_{m}") for m in measures])
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "position",

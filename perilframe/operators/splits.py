@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as fc
 
@@ -27,7 +27,7 @@ def shuffled_place(df: DataFrame, keys: list[str], seed: int = 42, within: list[
 
     The shuffle key is a hash, so its leading digits cut the rows into even slices, hot classes
     included. Rows are numbered inside their slice and shifted by the size of the slices before it;
-    the broadcast side has one row per slice and class.
+    the joined side has one row per slice and class.
     """
     groups = within or []
     hashed = df.withColumn("_h", fc.random_order(*keys, seed=seed)).withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
@@ -35,7 +35,7 @@ def shuffled_place(df: DataFrame, keys: list[str], seed: int = 42, within: list[
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_slice")
     offsets = sizes.select(*groups, "_slice", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
     inside = Window.partitionBy(*groups, "_slice").orderBy("_h", *keys)
-    return (hashed.join(F.broadcast(offsets), [*groups, "_slice"])
+    return (hashed.join(offsets, [*groups, "_slice"])
             .withColumn(name, F.row_number().over(inside) + F.col("_before")).select(*df.columns, name))
 
 
@@ -61,14 +61,17 @@ def expanding(series: DataFrame, k: int, order: str = "date", keys: list[str] |
     return folds.withColumn("split", part).filter(F.col("split").isNotNull()).drop("_place", "_n")
 
 
-def leave_one_out_sizes(df: DataFrame, group: str, label: str, min_rows: int = 50, min_positive: int = 10) -> DataFrame:
+def leave_one_out_sizes(df: DataFrame, group: str, label: str, min_rows: int = 50, min_positive: int = 10,
+                        held_out: Column | None = None) -> DataFrame:
     """Fold sizes when each group in turn is held out; groups too small or one-sided are left out.
 
-    Computed from one row per group: no row is copied into the folds it trains.
+    Rows of groups that ``held_out`` excludes, and of no group, train in every fold. Computed from one row per
+    group: no row is copied into the folds it trains.
     """
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(
+    every = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_test"), F.sum(label).alias("positives"), F.avg(label).alias("pos_rate_test"))
-    whole = sizes.agg(F.sum("n_test")).scalar()
+    whole = every.agg(F.sum("n_test")).scalar()
+    sizes = every.filter(F.col(group).isNotNull() & (F.lit(True) if held_out is None else held_out))
     valid = (F.col("n_test") >= min_rows) & (F.col("positives") >= min_positive) & (F.col("positives") < F.col("n_test"))
     return sizes.withColumn("n_train", whole - F.col("n_test")).filter(valid)
 

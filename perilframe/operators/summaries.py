@@ -129,7 +129,7 @@ def top_with_context(ranked: DataFrame, panel: DataFrame, keys: list[str], score
     The panel is reduced to the chosen entities before it is aggregated.
     """
     top = ranked.orderBy(F.desc(score), keys[0]).limit(n)
-    context = (panel.join(F.broadcast(top.select(*keys)), keys, "left_semi").groupBy(*keys)
+    context = (panel.join(top.select(*keys), keys, "left_semi").groupBy(*keys)
                .agg(F.avg("avg_claim_severity").alias("mean_severity"), F.sum("total_disasters").alias("total_disasters"),
                     F.sum("claim_count").alias("total_claims"), F.avg("total_population").alias("population")))
     return top.join(context, keys, "left")

@@ -9,6 +9,7 @@ from ..functions import fixed_values as fv
 from ..operators import panel as pn
 from ..operators import reporting as rp
 from ..operators import summaries as sm
+from ..operators.events import count_column
 from .bind_aggregates import Q, rounded
 from .registry import register, rnd
 from .tables import END, START, Tables, _case, pad_sql, ratio_sql, with_views
@@ -185,10 +186,12 @@ def _(t: Tables):
     return t.table("part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("brand_number"))
 
 
-@register("normalise_colnames", with_views("""SELECT state, count(*) FILTER (disaster_category = 'Severe Storm') AS severe_storm_count,
- count(*) FILTER (disaster_category = 'Winter Storm') AS winter_storm_count FROM ev GROUP BY 1""", "ev"))
+_COUNTED = ", ".join(f"count(*) FILTER (disaster_category = '{c}') AS {count_column(c)}" for c in fv.CATEGORIES)
+
+
+@register("normalise_colnames", with_views(f"SELECT state, {_COUNTED} FROM ev GROUP BY 1", "ev"))
 def _(t: Tables):
-    return rp.counted_columns(sm.count_matrix(t.events(), ["state"], "disaster_category", ["Severe Storm", "Winter Storm"]), ["state"])
+    return rp.counted_columns(sm.count_matrix(t.events(), ["state"], "disaster_category", fv.CATEGORIES), ["state"])
 
 
 @register("significance_band", f"""SELECT l_orderkey, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig,

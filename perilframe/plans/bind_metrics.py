@@ -204,7 +204,7 @@ def _(t: Tables):
 
 @register("sensitivity_surge", with_views(f"""SELECT CAST(th AS DOUBLE) AS surge_threshold, {rnd(f'avg(CASE WHEN yoy > th THEN 1 ELSE 0 END) FILTER (year <= {CUT})', 8)} AS pos_rate,
  {rnd(f'avg(CASE WHEN yoy > th THEN 1 ELSE 0 END) FILTER (year > {CUT})', 8)} AS pos_rate_test, count(*) FILTER (year <= {CUT}) AS n_train, count(*) FILTER (year > {CUT}) AS n_test
- FROM sg JOIN (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS th) ON true GROUP BY 1""", "pf", extra=SURGE_CTE), digits=8)
+ FROM sg JOIN (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS th) ON true WHERE {' AND '.join(f'"{c}" IS NOT NULL' for c in fv.SURGE_STUDY_FEATURES)} GROUP BY 1""", "pf", extra=SURGE_CTE), digits=8)
 def _(t: Tables):
     return se.surge_rates(t.panel_features(), cut=CUT)
 

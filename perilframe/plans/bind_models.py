@@ -77,7 +77,7 @@ def _(t: Tables):
 
 @register("glm_power_search", digits=6)
 def _(t: Tables):
-    return glm.tweedie_power_search(severity_with_zeros(t), (1.2, 1.5, 1.8))[2]
+    return glm.tweedie_power_search(severity_with_zeros(t))[2]
 
 
 @register("glm_logit_inference", digits=6)
@@ -100,7 +100,7 @@ def _(t: Tables):
 
 @register("cross_validate_glm", digits=6)
 def _(t: Tables):
-    folds = glm.cross_validate_gamma(severity(t), pn.KEY, 3)
+    folds = glm.cross_validate_gamma(severity(t), pn.KEY)
     return mt.mean_and_std(folds, ["rmse", "mae"])
 
 
@@ -188,4 +188,4 @@ def _(t: Tables):
 
 @register("sensitivity_surge_fits", digits=6)
 def _(t: Tables):
-    return rb.surge_fits(t.panel_features(), (0.5, 1.0), CUT)
+    return rb.surge_fits(t.panel_features(), cut=CUT)

@@ -93,16 +93,27 @@ def _(t: Tables):
 
 
 @register("ingest_year_preagg", with_views(f"""SELECT "countyCode", "propertyState", year, n_records, {rnd('policy_count', 3)} AS policy_count, {rnd('total_premium', 3)} AS total_premium, {rnd('median_premium', 3)} AS median_premium
- FROM policies_year WHERE year BETWEEN 1997 AND 2000""", "policies_year"), digits=3)
+ FROM policies_year""", "policies_year"), digits=3)
 def _(t: Tables):
+    return t.spark.read.parquet(_policy_years(t)).select(
+        "countyCode", "propertyState", "year", "n_records", "policy_count", "total_premium", "median_premium")
+
+
+def _policy_years(t: Tables) -> str:
     def land(path: str) -> None:
         yearly = ins.policies_entity_year(t.raw_policies())
         sk.overwrite_years(yearly, path)
         # A later increment replaces its own years and leaves the rest alone.
         sk.overwrite_years(yearly.filter(F.col("year") == 1998), path)
-    path = landed(t, "policies-by-year", land)
-    return sk.read_years(t.spark, path, [1997, 1998, 1999, 2000]).select(
-        "countyCode", "propertyState", "year", "n_records", "policy_count", "total_premium", "median_premium")
+    return landed(t, "policies-by-year", land)
+
+
+@register("read_year_partitions", with_views(f"""SELECT year, count(*) AS n_rows, CAST(sum(n_records) AS BIGINT) AS n_records
+ FROM policies_year WHERE year BETWEEN 1997 AND 2000 GROUP BY 1""", "policies_year"))
+def _(t: Tables):
+    """Only the partitions of the named years are read."""
+    return (sk.read_years(t.spark, _policy_years(t), [1997, 1998, 1999, 2000]).groupBy("year")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_records").alias("n_records")))
 
 
 @register("optional_source", with_views("SELECT county_fips, year, total_disasters, NULL::DOUBLE AS avg_premium, NULL::DOUBLE AS premium_change_yoy, NULL::BIGINT AS premium_surge_flag, 0.0::DOUBLE AS claims_per_policy FROM ev_year", "ev_year"))

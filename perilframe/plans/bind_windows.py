@@ -249,11 +249,11 @@ def _(t: Tables):
 
 
 @register("leave_one_group_out", with_views(f"""SELECT fema_region, count(*) AS n_test, CAST(sum(uninsurability_risk) AS BIGINT) AS positives, {rnd('avg(uninsurability_risk)', 6)} AS pos_rate_test,
- (SELECT count(*) FROM lb WHERE year <= {CUT} AND fema_region > 0) - count(*) AS n_train FROM lb WHERE year <= {CUT} AND fema_region > 0 GROUP BY 1
+ (SELECT count(*) FROM lb WHERE year <= {CUT}) - count(*) AS n_train FROM lb WHERE year <= {CUT} AND fema_region > 0 GROUP BY 1
  HAVING count(*) >= 50 AND sum(uninsurability_risk) >= 10 AND sum(uninsurability_risk) < count(*)""", "pf", extra=LABEL_CTE), digits=6)
 def _(t: Tables):
-    train = labelled(t).filter((F.col("year") <= CUT) & (F.col("fema_region") > 0))
-    return sp.leave_one_out_sizes(train, "fema_region", "uninsurability_risk")
+    train = labelled(t).filter(F.col("year") <= CUT)
+    return sp.leave_one_out_sizes(train, "fema_region", "uninsurability_risk", held_out=F.col("fema_region") > 0)
 
 
 @register("sample_fixed", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_MD5}, o_orderkey LIMIT 1000")

@@ -16,7 +16,6 @@ from ..operators import insurance as ins
 from ..operators import panel as pn
 from ..operators.events import count_column
 from ..session import SETTINGS, scratch_path
-from ..sources.readers import spread_scan
 from ..sources.sinks import write_stage
 
 START, END, CUT = 1995, 2001, 1999
@@ -56,10 +55,7 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         # The handle is kept so that the schema is read from the footers once.
-        def read() -> DataFrame:
-            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            return spread_scan(df, df.columns[0])
-        return self.once(f"table:{name}", read)
+        return self.once(f"table:{name}", lambda: self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     def stage(self, name: str, build) -> DataFrame:
         """Write a view to the shared scratch folder on first use; later queries read the files."""
@@ -183,13 +179,9 @@ class Tables:
             ins.assistance_entity_year(self.raw_assistance(), events), self.demographics(),
             pn.annual_means(self.macro(), START, END), ins.policies_entity_year(self.raw_policies()))
 
-    def _features(self) -> DataFrame:
-        wide = pn.engineer_features(self.panel())
-        return wide.withColumns({n: F.round(n, 6) for n, t in wide.dtypes if t == "double"})
-
     def panel_features(self) -> DataFrame:
-        """The feature panel as a stage table; doubles kept to six decimals."""
-        return self.stage("panel_features", self._features)
+        """The feature panel as a stage table."""
+        return self.stage("panel_features", lambda: pn.engineer_features(self.panel()))
 
     def clean_events_stage(self) -> DataFrame:
         return self.stage("events_clean", self.events)
@@ -328,8 +320,8 @@ def _q(name: str) -> str:
 
 SQL["pf"] = ("pf AS (SELECT county_fips, \"fipsStateCode\", state, year, "
              + ", ".join(_q(c) for c in PANEL_INTS) + ", "
-             + ", ".join(f"round({_q(c)}, 6) AS {_q(c)}" for c in PANEL_DOUBLES) + ", "
-             + ", ".join((f"{e} AS {n}" if n in _INT else f"round({e}, 6) AS {n}") for n, e in FEATURE_SQL.items())
+             + ", ".join(_q(c) for c in PANEL_DOUBLES) + ", "
+             + ", ".join(f"{e} AS {n}" for n, e in FEATURE_SQL.items())
              + " FROM panel WINDOW w AS (PARTITION BY county_fips ORDER BY year))")
 
 _NEEDS = {

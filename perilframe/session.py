@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,6 +17,10 @@ SETTINGS = {
 }
 
 
+#: Folders that are deleted when the driver ends.
+_registered: set[str] = set()
+
+
 def build_session(app: str = "perilframe", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -30,19 +33,23 @@ def build_session(app: str = "perilframe", master: str | None = None, **extra: s
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; it must be visible to every executor. Only a
-    local master, where driver and executors share one disk, may fall back to a temporary folder.
+    It is named in ``spark.checkpoint.dir`` and must be visible to every executor. Where that is unset, a
+    folder of the warehouse, which is shared as well, takes its place; no machine's own folder ever does.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="perilframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/perilframe-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder; two calls never collide."""
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the scratch folder; two calls never collide.
+
+    All paths of an application lie in one folder, which is deleted when its driver ends.
+    """
+    folder = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _registered:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _registered.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"

@@ -71,20 +71,3 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
-
-
-#: Scan bytes a core can take before splitting the scan any further stops paying off.
-BYTES_PER_CORE = 32 << 20
-SMALL_ENOUGH = 1 << 20
-
-
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is too small to be read by all of them.
-
-    A file of a few row groups is read by as many tasks, and everything up to the next shuffle runs in
-    them. Such a table is hashed on ``key`` first. A table with enough bytes for every core, which is any
-    large one, is returned unchanged; filters and column lists reach the scan in both cases.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if SMALL_ENOUGH < size < cores * BYTES_PER_CORE else df

@@ -10,19 +10,17 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     """Write a stage table and return it as read back, so later stages start from the files."""
     writer = df.write.mode("overwrite").options(**options)
     if partition_by:
-        # One task per partition value and slice of rows would write many small files otherwise.
         writer = writer.partitionBy(*partition_by)
     writer.format(fmt).save(path)
     return df.sparkSession.read.schema(df.schema).options(**options).format(fmt).load(path)
 
 
-def overwrite_years(df: DataFrame, path: str, column: str = "year", files_per_year: int = 8) -> None:
+def overwrite_years(df: DataFrame, path: str, column: str = "year") -> None:
     """Replace only the years present in ``df``; other year partitions stay as they are.
 
-    Rows of a year are spread over a few files, so the largest year is not one task's work.
+    Rows are dealt by year, and Spark splits what is too much for one task, so files follow the volume.
     """
-    slot = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
-    (df.repartition(F.col(column), slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", F.col(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(column).parquet(path))
 
 

@@ -49,12 +49,14 @@ def usable(rates: DataFrame, min_positive: int = 30, low: float = 0.01, high: fl
 
 
 def surge_rates(panel: DataFrame, thresholds=(0.25, 0.5, 0.75, 1.0), cut: int = fv.TRAIN_YEAR_MAX) -> DataFrame:
-    """Share of surges for several thresholds, again from one pass."""
+    """Share of surges for several thresholds among the rows that know every feature, again from one pass."""
     train = F.col("year") <= cut
+    base = surge_base(panel)
+    base = base.dropna(subset=[c for c in fv.SURGE_STUDY_FEATURES if c in base.columns])
     cells = {}
     for t in thresholds:
         hit = pn.surge("claims_change_yoy", t)
         cells[str(t)] = F.struct(F.avg(F.when(train, hit)).alias("pos_rate"), F.avg(F.when(~train, hit)).alias("pos_rate_test"),
                                  F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"))
-    tall = surge_base(panel).agg(*[c.alias(n) for n, c in cells.items()]).unpivot([], [f"`{n}`" for n in cells], "cell", "r")
+    tall = base.agg(*[c.alias(n) for n, c in cells.items()]).unpivot([], [f"`{n}`" for n in cells], "cell", "r")
     return tall.select(F.col("cell").cast("double").alias("surge_threshold"), "r.*")

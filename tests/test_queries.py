@@ -1,9 +1,10 @@
 """Registered queries against their SQL on the smallest tables.
 
-A sample runs by default; set ALL_QUERIES=1 for every query that has SQL.
+SOME_QUERIES=1 runs a sample only.
 """
 
 import os
+import re
 
 import pytest
 
@@ -14,7 +15,11 @@ SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = ["agg_entity_month", "agg_claims_entity_year", "panel_build", "describe_by_group", "scan_paged_json", "scan_json_matrix",
           "ingest_year_preagg", "lag_features", "composite_target", "sensitivity_thresholds", "pct_rank_composite", "kfold_assign",
           "auc_roc", "ks_two_sample", "acf", "seasonal_decompose", "format_summary", "optional_source"]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
+#: Queries whose result is empty on the smallest tables.
+EMPTY: set[str] = set()
+NAMES = SAMPLE if os.environ.get("SOME_QUERIES") else sorted(entry.oracle_sql())
+#: The corpus operators have tests of their own.
+NAMES = [name for name in NAMES if not re.match(r"op\d+_", name)]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not mounted")
 
@@ -27,7 +32,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, con, name):
     status, _, note = check(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
-    assert status in ("ok", "ok-EMPTY"), note
+    assert status == ("ok-EMPTY" if name in EMPTY else "ok"), note
 
 
 def test_flagship_has_rows(spark):
