@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
-from .ordered import exact_quantiles, with_quantiles
+from .ordered import exact_quantiles, grouped_stats, with_quantiles
 
 
 def group_sizes(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
@@ -71,10 +71,13 @@ def top_totals(events: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def describe(df: DataFrame, keys: list[str], value: str, decimals: int | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of each group."""
-    stats = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
-                                  F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    full = with_quantiles(stats, df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    """Count, mean, sample deviation, minimum, quartiles and maximum of each group, from one pass."""
+    x = F.col(value).cast("double")
+    stats = grouped_stats(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, {"squares": x * x})
+    n, total = F.col("n"), F.col("total")
+    spread = F.greatest(F.lit(0.0), F.col("squares") - total * total / n) / (n - 1)
+    full = stats.select(*keys, n.alias("count"), F.try_divide(total, n).alias("mean"), F.when(n > 1, F.sqrt(spread)).alias("std"),
+                        F.col("low").alias("min"), "q25", "q50", "q75", F.col("high").alias("max"))
     order = [*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     if decimals is None:
         return full.select(*order)
@@ -151,8 +154,8 @@ def severity_by_year(panel: DataFrame) -> DataFrame:
 def region_summary(df: DataFrame, score: str, region: str = "fema_region") -> DataFrame:
     """Mean, median and count of a score by region label, best region first; unlabelled rows are left out."""
     labelled = df.withColumn("label", fc.lookup(region, fv.REGION_LABEL)).dropna(subset=["label"])
-    stats = labelled.groupBy("label").agg(F.avg(score).alias("mean"), F.count(score).alias("count"))
-    full = with_quantiles(stats, labelled, ["label"], score, {"median": 0.5})
+    full = grouped_stats(labelled, ["label"], score, {"median": 0.5}).select(
+        "label", F.try_divide("total", "n").alias("mean"), F.col("n").alias("count"), "median")
     return full.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "label")))
 
 

@@ -17,7 +17,7 @@ from ..operators import target as tg
 from ..series import prepare as sr
 from .bind_aggregates import NATIONAL, Q, rounded
 from .registry import register, rnd
-from .tables import CUT, END, START, Tables, with_views
+from .tables import _INT, CUT, END, START, Tables, with_views
 
 W = "PARTITION BY county_fips ORDER BY year"
 
@@ -27,7 +27,10 @@ def _(t: Tables):
     return t.panel_features().select(*pn.KEY, pn.rolling_sum("total_disasters").alias("cum_disasters_3yr"))
 
 
-@register("lag_features", with_views(f"SELECT county_fips, year, {', '.join(f'lag({c}) OVER ({W}) AS {c}_lag1' for c in pn.LAGS)} FROM pf", "pf"), digits=6)
+_LAGGED = ", ".join((f"lag({c}) OVER ({W})" if f"{c}_lag1" in _INT else rnd(f"lag({c}) OVER ({W})", 6)) + f" AS {c}_lag1" for c in pn.LAGS)
+
+
+@register("lag_features", with_views(f"SELECT county_fips, year, {_LAGGED} FROM pf", "pf"), digits=6)
 def _(t: Tables):
     return t.panel_features().select(*pn.KEY, *[pn.lagged(c).alias(f"{c}_lag1") for c in pn.LAGS])
 
