@@ -99,7 +99,10 @@ def feistel_characters(value: Column, key: Column, tweak: Column) -> Column:
                 .when(character.rlike("^[A-Z]$"), F.char(number + 65)).otherwise(character))
 
     made = F.array_join(F.zip_with(parts, changed, written), "")
-    return F.when(F.length(value) > 1, made).otherwise(value)
+    # A single character is moved on, by one place at least.
+    radix_one = _radix(value)
+    moved_on = F.pmod(_digit(value) + 1 + F.pmod(_hash(key, tweak), F.greatest(radix_one - 1, F.lit(1))), radix_one)
+    return F.when(F.length(value) > 1, made).when(radix_one > 1, written(value, moved_on.cast("int"))).otherwise(value)
 
 
 def in_place(value: Column, digits: Column) -> Column:
