@@ -163,7 +163,7 @@ def band_keys(text: str, words: int, bands: int, rows: int, counted: bool) -> np
 
 
 def nodes(df: DataFrame, words: int, bands: int, rows: int, counted: bool) -> DataFrame:
-    """One row per distinct text: ``node, key, first`` (its least doc_id) and the keys of its bands."""
+    """One row per distinct text: ``node, key, first`` (its least doc_id), ``copies`` and the keys of its bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,8 @@ def nodes(df: DataFrame, words: int, bands: int, rows: int, counted: bool) -> Da
                                   names=["doc_id", "key", "bands"])
 
     signed = df.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
-    return written(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    return written(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"),
+                                             F.first("bands").alias("bands"))
                    .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
 
 
@@ -257,13 +258,12 @@ def _grouped(texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, ba
 
     more = _links_across(members, known, sets, first, least, chunk)
     roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
-    named = known.select("node", "key", "first").join(roots, "node", "left").withColumn(
+    named = known.select("node", "key", "first", "copies").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("first").alias("group_id"))
-    groups = named.join(names, "root").select("key", "root", "group_id")
-    sized = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(groups, "key").groupBy("root").agg(
-        F.sum("n").alias("group_size"))
-    verdicts = groups.join(sized, "root").select("key", "group_id", "group_size")
+    # A written table, so that Spark can split the join where one group is large.
+    names = written(named.groupBy("root").agg(
+        F.min("first").alias("group_id"), F.sum("copies").alias("group_size")), "minhash-groups")
+    verdicts = named.select("key", "root").join(names, "root").select("key", "group_id", "group_size")
     return texts.select("doc_id", "key").join(verdicts, "key").select(
         "doc_id", "key", "group_id", "group_size", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
