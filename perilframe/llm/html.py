@@ -1,9 +1,10 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Every block element of a page is a node that holds no content, only content, or both. A node's potential is the likelihood of what
-can be seen of it (tag, words of its attributes, length, links, punctuation), a parent-child potential says how states
+Every block element of a page is a node that holds no content, only content, or both. A node's potential is the likelihood
+of what can be seen of it (tag, words of its attributes, length, links, punctuation), a parent-child potential says how states
 follow each other, and sum-product messages, first from the leaves to the root, then back, give each node's exact
-marginal. Text counts as content if the marginal of its element is above one half. Both kinds of potentials are counted
+marginal. Text counts as content if the marginal of its element is above `LEVEL`, where the
+labelled pages show few errors of either kind. Both kinds of potentials are counted
 from labelled pages by a Spark job (`fit`); in a labelled page, ``data-label`` is ``main`` or ``other`` and holds for
 all that is inside. `labelled_pages` makes a set for a start; any table with such pages can take its place.
 
@@ -50,6 +51,8 @@ TOKEN = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SENTENCE = re.compile(r"[.!?](?=\s|$)")
 
+#: Marginal above which text is taken: missing text costs more than it does to be unsure.
+LEVEL = 0.3
 #: What an element may be: without content, content only, or a container of both.
 STATES = OUTSIDE, CONTENT, MIXED = 0, 1, 2
 
@@ -317,7 +320,7 @@ def main_text(html: str | None, model: Model) -> str:
     nodes, blocks = tree(html)
     describe(nodes)
     content = model.marginals(nodes)
-    return "\n".join([text for node, text in blocks if content[node] > 0.5])
+    return "\n".join([text for node, text in blocks if content[node] > LEVEL])
 
 
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:

@@ -39,11 +39,19 @@ def body(start: int) -> str:
     if start % 6 == 5:  # some articles are a line or two
         return f"<h1>{' '.join(SENTENCES[start % 8].split()[:1 + start % 5])}</h1>" * (start % 4 != 3) + "".join(
             f"<p>{' '.join(SENTENCES[(start + place) % 8].split()[:1 + start % 13])}</p>" for place in range(1 + start % 3))
+    if start % 6 == 2:  # and some a short paragraph or two
+        return f"<h1>{' '.join(SENTENCES[start % 8].split()[:1 + start % 7])}</h1>" * (start % 5 != 4) + "".join(
+            f"<p>{prose(start + place, 1 + (start + place) % 2)}</p>" for place in range(1 + start // 6 % 2)) + (
+            f"<p>{' '.join(SENTENCES[start % 8].split()[:1 + start % 4])}</p>" * (start // 6 % 3 == 0))
     kind = start % 4
     text = f"<h1>{prose(start, 1)}</h1>" * (start % 7 != 6) + "".join(
         f"<p>{paragraph(start * 3 + place)}</p>" for place in range(1 + start % 9))
     if kind % 2:
         text += f"<h2>What follows</h2><ul><li>{prose(start, 1)}</li><li>{prose(start + 1, 1)}</li></ul><p>See above.</p>"
+    if start % 3:
+        item = "<li><p>{}</p></li>" if start % 2 else "<li>{}</li>"
+        mark = ("ul", "ol")[start // 2 % 2]
+        text += f"<{mark}>" + "".join(item.format(paragraph(start + place)) for place in range(2 + start % 5)) + f"</{mark}>"
     if kind == 2:
         text += f"<blockquote><p>{prose(start, 2)}</p></blockquote><p>So it <a href='/x'>was said</a> then.</p>"
     if kind == 3:
