@@ -34,6 +34,9 @@ class TreeSettings:
 
 BOOSTING = TreeSettings()
 FOREST = TreeSettings(trees=500, depth=10, subsample=1.0)
+#: The full grids of the parameter search.
+BOOSTING_GRID = {"maxIter": [200, 300, 500], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1]}
+FOREST_GRID = {"numTrees": [300, 500], "maxDepth": [8, 10, 15], "featureSubsetStrategy": ["sqrt", "log2"]}
 
 
 def prepare(labelled: DataFrame, features: list[str] = fv.PREDICTIVE_FEATURES, label: str = "uninsurability_risk",

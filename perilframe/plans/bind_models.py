@@ -1,6 +1,6 @@
 """Model fits, scoring and the studies around them.
 
-The registered sizes are small so that a run stays short; the functions' defaults are the full ones.
+Every query runs at the full sizes: tree numbers and depths, grids, folds, test years and cells of the surveyed studies.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from ..studies import robustness as rb
 from ..studies import sensitivity as se
 from .bind_windows import labelled
 from .registry import register
-from .tables import CUT, Tables
+from .tables import CUT, END, START, Tables
 
-SMALL = cl.TreeSettings(trees=10, depth=3, rate=0.1, subsample=0.8, min_leaf=20)
-TINY = cl.TreeSettings(trees=4, depth=3, rate=0.1, subsample=0.8, min_leaf=20)
+#: Every year of the panel that has earlier ones to train on.
+TEST_YEARS = list(range(START + 1, END + 1))
 
 
 def _staged(t: Tables, name: str, build) -> glm.Prepared:
@@ -56,11 +56,11 @@ def gamma(t: Tables):
 
 
 def boosted(t: Tables):
-    return t.once("boosted", lambda: cl.fit(cl.boosting(SMALL), risk(t).train))
+    return t.once("boosted", lambda: cl.fit(cl.boosting(), risk(t).train))
 
 
 def bagged(t: Tables):
-    return t.once("bagged", lambda: cl.fit(cl.forest(SMALL), risk(t).train))
+    return t.once("bagged", lambda: cl.fit(cl.forest(), risk(t).train))
 
 
 @register("glm_gamma", digits=6)
@@ -120,12 +120,15 @@ def _(t: Tables):
 
 @register("hyper_grid_search", digits=6)
 def _(t: Tables):
-    return cl.grid_search(risk(t).train, cl.forest(SMALL), {"numTrees": [5, 10], "maxDepth": [2, 4]}, pn.KEY)[1]
+    kinds = (("Gradient Boosting", cl.boosting(), cl.BOOSTING_GRID), ("Random Forest", cl.forest(), cl.FOREST_GRID))
+    found = [cl.grid_search(risk(t).train, estimator, grid, pn.KEY)[1].withColumn("model", F.lit(name))
+             for name, estimator, grid in kinds]
+    return found[0].unionByName(found[1])
 
 
 @register("cross_validate_clf", digits=6)
 def _(t: Tables):
-    folds = cl.cross_validate(risk(t).train, cl.forest(SMALL), pn.KEY, 3, name="Random Forest")
+    folds = cl.cross_validate(risk(t).train, cl.forest(), pn.KEY, name="Random Forest")
     return mt.mean_and_std(folds, ["auc_roc", "avg_precision", "f1_score"])
 
 
@@ -163,27 +166,27 @@ def _(t: Tables):
 
 @register("feature_ablation", digits=6)
 def _(t: Tables):
-    return rb.feature_ablation(labelled(t), TINY, CUT)
+    return rb.feature_ablation(labelled(t), cut=CUT)
 
 
 @register("geographic_cv", digits=6)
 def _(t: Tables):
-    return rb.geographic_cv(labelled(t), TINY, CUT)
+    return rb.geographic_cv(labelled(t), cut=CUT)
 
 
 @register("temporal_stability", digits=6)
 def _(t: Tables):
-    return rb.temporal_stability(t.panel_features(), [1998, 1999, 2000], TINY)
+    return rb.temporal_stability(t.panel_features(), TEST_YEARS)
 
 
 @register("prediction_stability", digits=6)
 def _(t: Tables):
-    return rb.prediction_stability(labelled(t), TINY, CUT, 3)
+    return rb.prediction_stability(labelled(t), cut=CUT)
 
 
 @register("sensitivity_thresholds_fits", digits=6)
 def _(t: Tables):
-    return rb.threshold_fits(t.panel_features(), TINY, CUT, quantiles=(0.75,), min_signals=(2, 3))
+    return rb.threshold_fits(t.panel_features(), cut=CUT)
 
 
 @register("sensitivity_surge_fits", digits=6)
