@@ -133,12 +133,53 @@ def mod97(text: Column) -> Column:
     ).otherwise((rest * 100 + (F.ascii(character) - 55)) % 97).cast("long"))
 
 
-def card(value: Column, key: Column) -> Column:
+def _is_card(value: Column) -> Column:
+    return let(digits_of(value), lambda digits: F.length(digits).between(13, 19) & (
+        check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1))))
+
+
+def _one_card(value: Column, key: Column) -> Column:
     digits = digits_of(value)
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    valid = check_digit(body) == F.substr(digits, F.length(digits), F.lit(1))
     made = let(feistel_characters(body, key, F.lit("card")), lambda moved: F.concat(moved, check_digit(moved)))
-    return F.when(valid & F.length(digits).between(13, 19), in_place(value, made))
+    return in_place(value, made)
+
+
+#: Digits as cards show them: unbroken or in the groups of the networks.
+CARD_SHAPE = "^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?:\\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$"
+
+
+def card(value: Column, key: Column) -> Column:
+    """The valid numbers in a run of digit groups; each starts and ends with a group. Numbers that are grouped as cards
+    are come first, then the longest from the left; other groups of the run stay."""
+    return let(F.split(value, "(?<=[ -])"), lambda groups: _cards(groups, key))
+
+
+def _cards(groups: Column, key: Column) -> Column:
+    def shown(first: Column, last: Column) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(groups, first, last - first + 1), ""), "[ -]$", "")
+
+    size = F.size(groups)
+    # A number of 19 digits has 19 groups at most.
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda first: F.filter(F.transform(
+        F.sequence(first, F.least(first + 18, size)), lambda last: let(shown(first, last), lambda text: F.when(
+            F.length(text).between(13, 37) & _is_card(text),
+            F.struct((~text.rlike(CARD_SHAPE)).alias("loose"), first.alias("first"), (-last).alias("last"))))),
+        lambda span: span.isNotNull())))
+    chosen = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,last:int>>"), lambda held, span: F.when(
+        F.exists(held, lambda other: (span["first"] <= other["last"]) & (other["first"] <= -span["last"])), held).otherwise(
+        F.array_append(held, F.struct(span["first"].alias("first"), (-span["last"]).alias("last")))))
+    empty = F.struct(F.lit(1).alias("at"), F.lit("").alias("made"))
+
+    def step(done: Column, span: Column) -> Column:
+        before = F.array_join(F.slice(groups, done["at"], span["first"] - done["at"]), "")
+        mark = F.regexp_extract(F.element_at(groups, span["last"]), "[ -]$", 0)
+        return F.struct((span["last"] + 1).alias("at"), F.concat(
+            done["made"], before, _one_card(shown(span["first"], span["last"]), key), mark).alias("made"))
+
+    return let(chosen, lambda found: F.when(F.size(found) > 0, F.aggregate(
+        F.array_sort(found), empty, step,
+        lambda done: F.concat(done["made"], F.array_join(F.slice(groups, done["at"], size), "")))))
 
 
 def phone(value: Column, key: Column) -> Column:
@@ -195,17 +236,30 @@ def date(value: Column, key: Column) -> Column:
 
 
 def account(value: Column, key: Column) -> Column:
+    """The longest valid account number that ``value`` starts with and that ends with a group; what follows stays."""
+    ends = F.filter(F.sequence(F.lit(15), F.greatest(F.length(value), F.lit(15))), lambda end: (
+        F.substr(value, end + 1, F.lit(1)).isin("", " ") & (F.substr(value, end, F.lit(1)) != " ")
+        & _is_account(F.substr(value, F.lit(1), end))))
+    return let(F.array_max(ends), lambda end: F.when(end.isNotNull(), F.concat(
+        _one_account(F.substr(value, F.lit(1), end), key), F.substr(value, end + 1, F.length(value)))))
+
+
+def _is_account(value: Column) -> Column:
+    return let(F.regexp_replace(value, " ", ""), lambda bare: F.length(bare).between(15, 34) & (
+        mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(bare, F.lit(1), F.lit(4)))) == 1))
+
+
+def _one_account(value: Column, key: Column) -> Column:
     """International account numbers: country stays, check digits are computed anew."""
     bare = F.regexp_replace(value, " ", "")
     country, body = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5), F.length(bare))
-    valid = (mod97(F.concat(body, F.substr(bare, F.lit(1), F.lit(4)))) == 1) & F.length(bare).between(15, 34)
     moved = feistel_characters(body, key, F.concat(F.lit("account"), country))
     made = let(moved, lambda m: F.concat(country, F.lpad(
         (F.lit(98) - mod97(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m))
     spaced = let(made, lambda whole: F.array_join(F.transform(characters(value), lambda c, at: F.when(
         c == " ", " ").otherwise(F.substr(whole, F.length(F.regexp_replace(
             F.substr(value, F.lit(1), at + 1), " ", "")), F.lit(1)))), ""))
-    return F.when(valid, spaced)
+    return spaced
 
 
 def email(value: Column, key: Column) -> Column:
@@ -226,26 +280,50 @@ class Kind:
     name: str
     pattern: str
     pseudonym: Callable[[Column, Column], Column]
+    #: How a matched value is known again, where the pattern looks at what surrounds it.
+    again: str | None = None
+
+
+#: Lengths of account numbers, by country.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account_pattern() -> str:
+    """By the length of the country, so that no match reaches into the next field; then of any length."""
+    exact = "|".join(
+        f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}"
+        + (f" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else "") + "(?![A-Za-z0-9])" for length, countries in ACCOUNT_LENGTHS.items())
+    return (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{exact}"
+            r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))")
 
 
-#: In order of precedence. Every pattern starts where no value is under way, and quantifiers give nothing back.
-KINDS = (
+#: In order of precedence, cards after these. Every pattern starts where no value is under way, and quantifiers give nothing back.
+OTHERS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", email),
     Kind("credential", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
                        r"|(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
                        r"[A-Za-z0-9/+_-]{8,}", credential),
-    Kind("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", account),
-    Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9]|[./-][0-9])", date),
+    Kind("account", _account_pattern(), account),
+    Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4})(?![0-9]|[./-][0-9])", date),
     Kind("address", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", address),
     Kind("social", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", social),
     Kind("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
                   r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|-[0-9])", phone),
-    Kind("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])", card),
 )
+#: A run of digit groups with 13 digits at least. It ends before a value of another kind, and before a group that a letter or a
+#: decimal follows. Possessive groups are matched in a loop, so a run may have any length.
+_GROUP = r"[0-9]++(?![A-Za-z]|\.[0-9])"
+_RUN = (rf"(?<![0-9A-Za-z.-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}"
+        rf"(?:[ -](?!{'|'.join(f'(?:{kind.pattern})' for kind in OTHERS)}){_GROUP})*+")
+KINDS = (*OTHERS, Kind("card", _RUN, card, again="[0-9][0-9 -]*"))
 
 
 def _combined() -> str:
-    # The back-reference of the date pattern is numbered within its own alternative.
     return "|".join(f"(?:{kind.pattern})" for kind in KINDS)
 
 
@@ -256,7 +334,7 @@ def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of a matched value, or the value itself if it isn't valid."""
     made = None
     for kind in KINDS:
-        test = value.rlike(f"^(?:{kind.pattern})$")
+        test = value.rlike(f"^(?:{kind.again or kind.pattern})$")
         made = F.when(test, kind.pseudonym(value, key)) if made is None else made.when(test, kind.pseudonym(value, key))
     return F.coalesce(made, value)
 

@@ -265,3 +265,42 @@ def test_pseudonyms_keep_rows_and_columns(spark):
 def test_pseudonyms_run_no_python(spark):
     plan = pii.pseudonymised(documents(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+CARD, AMEX, SPAIN, GERMANY = "4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+
+
+NEXT_TO_OTHERS = [
+    (f"{CARD} 12/25", [CARD]), ("4111111111111111 123", ["4111111111111111"]), (f"{AMEX} 1234", [AMEX]),
+    (f"Nr 123456 {CARD}", [CARD]), (f"12 {CARD} 11", [CARD]), (f"1234 {CARD} 5500 0000 0000 0004", [CARD, "5500 0000 0000 0004"]),
+    (f"{CARD} 2024-02-29", [CARD, "2024-02-29"]), (f"{CARD} 29/02/2024 12a", [CARD, "29/02/2024"]),
+    (f"{CARD} 123-45-6789", [CARD, "123-45-6789"]), (f"{CARD} 77@mail.example", [CARD, "77@"]), (f"{CARD} 1.5", [CARD]),
+    ("41111111 11111111 7", ["41111111 11111111"]), ("9 " * 1500 + CARD + " 9" * 1500, [CARD]),
+    (f"{SPAIN} BIC CAIXESBB", [SPAIN]), ("ES9121000418450200051332 BIC CAIXESBB", ["ES9121000418450200051332"]),
+    (f"ES9121000418450200051332 {GERMANY} BIC", ["ES9121000418450200051332", GERMANY]),
+    (f"{SPAIN} {CARD} 123", [SPAIN, CARD]), (f"IBAN {GERMANY} 12", [GERMANY]),
+]
+
+
+@pytest.fixture(scope="module")
+def next_to_others(spark):
+    rows = pii.pseudonymised(documents(spark, [text for text, _ in NEXT_TO_OTHERS])).collect()
+    return {row["doc_id"]: row for row in rows}
+
+
+@pytest.mark.parametrize("number", range(len(NEXT_TO_OTHERS)))
+def test_values_next_to_others_are_replaced(next_to_others, number):
+    (text, values), row = NEXT_TO_OTHERS[number], next_to_others[number]
+    assert not [value for value in values if value in row["text"]]
+    assert len(row["text"]) == len(text) and row["n_replaced"] >= 1
+    for value in values:
+        at = text.index(value)
+        bare = re.sub(r"[ -]", "", row["text"][at:at + len(value)])
+        if value in (SPAIN, GERMANY):
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        elif len(bare) > 12 and bare.isdigit():
+            assert luhn(bare)
+    kept = text.replace("@", " ")
+    for value in values:
+        kept = kept.replace(value.strip("@"), "\0" * len(value.strip("@")))
+    assert all(made == own for made, own in zip(row["text"].replace("@", " "), kept) if own != "\0")
