@@ -5,7 +5,7 @@ no row leaves its task, so the work is one pass over the input without a shuffle
 
 Defined results: a null text counts as empty; an empty text has all figures 0 and fails the base rule; equal rows get
 equal figures; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so further columns may have
-any name. Eight-word windows are compared by a 64-bit hash of their words, within one text only.
+any name; where there is a text column ``lang``, it tells to which rows the rule of function words applies. Eight-word windows are compared by a 64-bit hash of their words, within one text only.
 """
 
 from __future__ import annotations
@@ -31,6 +31,18 @@ STOP_WORDS = (
 )
 
 
+#: The languages of the list, and the column that is true for rows known to be in none of them.
+LANGUAGES = ("en", "fr", "de", "es")
+OTHER_LANGUAGE = "_other_language"
+
+
+def other_language(df: DataFrame, lang: Column) -> Column:
+    """Where ``lang`` is null or names no language of the list; false without such a column."""
+    if dict(df.dtypes).get("lang") != "string":
+        return F.lit(False)
+    return ~F.coalesce(F.regexp_extract(F.lower(lang), "^[a-z]+", 0).isin(*LANGUAGES), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A ratio of two figures, per cent, with the range a kept text must lie in."""
@@ -40,6 +52,8 @@ class Rule:
     whole: str
     at_least: float | None = None
     at_most: float | None = None
+    #: The languages the rule knows; rows of other or unknown languages pass.
+    languages: tuple[str, ...] = ()
 
     def holds(self) -> Column:
         """100 * part against bound * whole, in exact integers where bounds are whole numbers."""
@@ -51,6 +65,8 @@ class Rule:
         verdict = checks[0]
         for check in checks[1:]:
             verdict = verdict & check
+        if self.languages:
+            verdict = verdict | F.col(OTHER_LANGUAGE)
         return verdict
 
     def sql(self) -> str:
@@ -67,7 +83,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", at_least=150, at_most=1500),
     Rule("symbols", "n_symbols", "n_words", at_most=20),
     Rule("shouting", "n_marks", "n_words", at_most=50),
-    Rule("stop_words", "n_stop_words", "n_words", at_least=2),
+    Rule("stop_words", "n_stop_words", "n_words", at_least=2, languages=LANGUAGES),
     Rule("repeated_lines", "n_dup_lines", "n_lines", at_most=50),
     Rule("cut_lines", "n_cut_lines", "n_lines", at_most=50),
 )
@@ -149,15 +165,19 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Figures, ``base_failed``, ``kept`` and one boolean per rule."""
-    return measured(df, keep=keep).select(
-        "*", base_failed().alias("base_failed"), verdict(rules).alias("kept"),
+    marked = df.withColumn(OTHER_LANGUAGE, other_language(df, F.col("lang") if "lang" in df.columns else F.lit(None)))
+    figures = measured(marked, keep=(*keep, OTHER_LANGUAGE))
+    return figures.select(
+        *[name for name in figures.columns if name != OTHER_LANGUAGE], base_failed().alias("base_failed"), verdict(rules).alias("kept"),
         *[rule.holds().alias(f"rule_{rule.name}") for rule in rules])
 
 
 def kept(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df``, all columns, that pass."""
     whole = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"))
-    figures = measured(whole.withColumn("text", F.col("row.text")), keep=("row",))
+    lang = F.col("row.lang") if "lang" in df.columns else F.lit(None)
+    figures = measured(whole.select("row", F.col("row.text").alias("text"), other_language(df, lang).alias(OTHER_LANGUAGE)),
+                       keep=("row", OTHER_LANGUAGE))
     # A column that depends on the row's place keeps the figures out of the filter, where the optimizer would write
     # them out once for every use.
     placed = figures.withColumn("place", F.monotonically_increasing_id())

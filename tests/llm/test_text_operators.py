@@ -62,6 +62,15 @@ def test_quality_keeps_columns_and_rows(spark):
     assert quality.kept(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lang,kept", [("pl", True), (None, True), ("tr-TR", True), ("en", False), ("de-AT", False)])
+def test_function_words_are_asked_for_in_known_languages_only(spark, lang, kept):
+    text = " ".join(f"słowo{chr(97 + number)} rzeka{chr(97 + number)} miasto" for number in range(12)) + "."
+    frame = documents(spark, [text]).withColumn("lang", F.lit(lang).cast("string"))
+    row = quality.judged(frame).first()
+    assert row["kept"] == row["rule_stop_words"] == kept and quality.kept(frame).count() == kept
+    assert quality.kept(frame).columns == frame.columns and "_other_language" not in row
+
+
 # ---- licences --------------------------------------------------------------------------------
 def test_licences_match_sql(spark):
     texts = ["Copyright (c) 2020 X\n\n" + LICENCES["MIT"].upper().replace("\n", " \n "),
