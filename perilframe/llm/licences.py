@@ -61,15 +61,24 @@ def _canonical(text: Column) -> Column:
     return F.array_join(one, " ")
 
 
-def scanned(df: DataFrame) -> DataFrame:
-    """``doc_id, digest, licence, notices`` per row: the licence the whole text is, and those its lines name."""
+def _bare(line: Column) -> Column:
+    """Lower case, without punctuation, white space made single."""
+    return F.regexp_replace(F.regexp_replace(F.lower(line), PUNCTUATION, ""), "[ \\t\\n\\x0b\\x0c\\r]+", " ")
+
+
+def scanned(df: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, digest, licence, notices`` per row: the licence the whole text is, and those its lines name.
+
+    ``texts`` (``licence, text``) adds licences to the known ones, which win where digests are equal.
+    """
     rows = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     notices = known_notices()
     named = F.create_map(*[F.lit(part) for pair in notices.items() for part in pair])
     # A notice is short: the longest known form bounds the lines that can match one.
     longest = max(len(form.format(spelled)) for spellings in NAMES.values() for spelled in spellings for form in FORMS)
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.regexp_replace(
-        line, PUNCTUATION, "")).between(1, 2 * longest) & line.rlike(HINT))
+    # White space counts as single, and words are looked for without punctuation, as in the canonical form.
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("\\S") & F.exists(F.array(_bare(line)), lambda bare: (
+        F.length(bare) <= 2 * longest) & bare.rlike(HINT)))
     found = F.array_intersect(F.transform(lines, lambda line: F.sha2(_canonical(line), 256)),
                               F.array(*[F.lit(key) for key in notices]))
     made = rows.select(
@@ -77,12 +86,16 @@ def scanned(df: DataFrame) -> DataFrame:
         F.sort_array(F.array_distinct(F.transform(found, lambda key: F.element_at(named, key)))).alias("notices"))
     licences = df.sparkSession.createDataFrame(list(known_licences().items()), T.StructType([
         T.StructField("digest", T.StringType()), T.StructField("licence", T.StringType())]))
+    if texts is not None:
+        more = texts.select(F.sha2(_canonical(F.col("text")), 256).alias("digest"), "licence").join(
+            F.broadcast(licences.select("digest")), "digest", "left_anti").groupBy("digest").agg(F.min("licence").alias("licence"))
+        return made.join(licences.unionByName(more), "digest", "left").select("doc_id", "digest", "licence", "notices")
     # A fixed table of a few rows.
     return made.join(F.broadcast(licences), "digest", "left").select("doc_id", "digest", "licence", "notices")
 
 
-#: Each notice has one of these words in some case and spelling, so other lines cannot match one.
-HINT = r"(?i)licen[cs]e|domain"
+#: Each notice has one of these words, so other lines cannot match one.
+HINT = "released|licen[cs]e|distributed"
 
 
 def oracle() -> str:

@@ -83,6 +83,21 @@ def test_licences_match_sql(spark):
     assert found[2]["notices"] == ["CC-BY-NC-4.0", "MIT"]
 
 
+def test_every_notice_is_found(spark):
+    notices = [form.format(name) for names in licences.NAMES.values() for name in names for form in licences.FORMS]
+    texts = [*notices, " " * 300 + "Released   under\tCC BY 4.0" + " " * 300, "Re*leased under the MIT.", "DISTRIBUTED UNDER THE MIT!"]
+    frame = documents(spark, texts).select("doc_id", "text")
+    got = rows_of(licences.scanned(frame))
+    assert got == by_sql(frame.toPandas(), "documents", licences.oracle())
+    assert all(row["notices"] for row in licences.scanned(frame).collect())
+
+
+def test_further_licence_texts(spark):
+    more = spark.createDataFrame([("Own-1.0", "Do as you like, at your own risk."), ("Other", LICENCES["MIT"])], "licence string, text string")
+    frame = documents(spark, ["DO as you like -- at your own risk", LICENCES["MIT"]])
+    assert [row["licence"] for row in licences.scanned(frame, more).orderBy("doc_id").collect()] == ["Own-1.0", "MIT"]
+
+
 @pytest.mark.parametrize("name", sorted(LICENCES))
 def test_known_licences_do_not_collide(name):
     assert licences.known_licences()[licences.digest(LICENCES[name])] == name
