@@ -38,6 +38,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
           "var", "br", "img", "wbr", "ruby", "rt", "rp", "input"}
+#: What can stand in a head; anything else ends an open one.
+HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title", "html", "head"}
+#: Elements with a syntax of their own, where "/>" closes.
+FOREIGN = {"svg", "math"}
 #: What an opening tag ends, if it is open.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
@@ -164,7 +168,16 @@ def tree(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 links -= 1
             stack.pop()
 
+    def end_head() -> None:
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] == "head":
+                close(depth)
+                break
+
     for kind, name, source in parts(html):
+        # Text ends a head only where it stands in it directly: that of a title or script is the element's own.
+        if kind == "text" and stack[-1][0] == "head" and source.strip() or kind == "open" and name not in HEAD:
+            end_head()
         if kind == "text":
             if not stack[-1][2]:
                 text = unescape(source)
@@ -195,6 +208,11 @@ def tree(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end_block()
                 if name == "html":
                     continue
+                if name in FOREIGN or stack[-1][2] and any(open_ in FOREIGN for open_, _, _ in stack):
+                    # A drawing or formula holds no text, so it says nothing of its surroundings.
+                    if not source.endswith("/"):
+                        stack.append((name, stack[-1][1], True))
+                    continue
                 words, label = attributes(source)
                 nodes.append(Node(name, stack[-1][1], words, label or nodes[stack[-1][1]].label))
                 stack.append((name, len(nodes) - 1, stack[-1][2] or name in SILENT))

@@ -145,6 +145,24 @@ def test_main_text(model, page, text):
     assert html.main_text(page, model) == text
 
 
+BODY = "<article><h1>High water</h1><p>{}The river rose in one night, and the lower road was closed.</p><p>Nobody was hurt.</p></article>"
+BODY_TEXT = "High water\nThe river rose in one night, and the lower road was closed.\nNobody was hurt."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body>" + BODY.format("") + "</body></html>",
+    "<html><head><title>x</title><meta charset=utf-8><script>a = 1</script>" + BODY.format("") + "</html>",
+    "<html><head><title>x</title></head><body>" + BODY.format("<svg viewBox='0 0 1 1'/>") + "</body></html>",
+    "<html><head><title>x</title></head><body>" + BODY.format("<svg><path d='M0 0'/><g/></svg>") + "</body></html>"])
+def test_open_heads_and_closed_drawings_silence_nothing(model, page):
+    assert html.main_text(page, model) == BODY_TEXT
+
+
+def test_text_ends_an_open_head():
+    _, blocks = html.tree("<head><title>x</title>\n<style>p {}</style>One. <b>Two.</b><p>Three.")
+    assert [text for _, text in blocks] == ["One. Two.", "Three."]
+
+
 def test_marginals_are_exact(model):
     """Messages against the sum over all states of all nodes."""
     from itertools import product
