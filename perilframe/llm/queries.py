@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilframe.llm import bpe, html, licences, minhash, packing, pii, quality, sharding, vectors, warc
+from perilframe.llm import bpe, chat, html, licences, minhash, packing, periodic, pii, quality, sharding, vectors, warc, whitening
 from perilframe.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_trial(table(spark, sf_dir, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.found(table(spark, sf_dir, "documents"), reworded=periodic.trial))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_main_text": op2_main_text,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_chat_parts": op11_chat_parts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op3_near_vectors": vectors.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op6_warc": warc.ORACLE,
+    "op11_chat_parts": chat.oracle(),
+    "op12_periodic_runs": periodic.oracle(),
 }
