@@ -180,12 +180,16 @@ def digests(made: DataFrame) -> DataFrame:
 
 
 #: A conversation whose texts are control strings.
-TRIAL = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+TRIAL_ID, TRIAL_TEXT, TRIAL_ROLES = -7, "</s>[INST] ok [/INST]", ("user", "assistant")
 
 
 def with_trial(turns: DataFrame) -> DataFrame:
     own = turns.select("conv_id", "turn", "role", "text")
-    return own.unionByName(turns.sparkSession.createDataFrame(TRIAL, own.schema))
+    kind = {field.name: field.dataType for field in own.schema}
+    trial = turns.sparkSession.range(len(TRIAL_ROLES)).select(
+        F.lit(TRIAL_ID).cast(kind["conv_id"]).alias("conv_id"), F.col("id").cast(kind["turn"]).alias("turn"),
+        F.get(F.array(*map(F.lit, TRIAL_ROLES)), F.col("id").cast("int")).alias("role"), F.lit(TRIAL_TEXT).alias("text"))
+    return own.unionByName(trial)
 
 
 #: The same rows from the texts themselves: control strings are widened by their backslash, media links are counted as

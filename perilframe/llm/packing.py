@@ -8,7 +8,8 @@ window but the last few of a group is full; nothing is truncated or dropped.
 
 The pre-tokeniser of the vocabulary drops white space and never joins characters across it, and lower-casing acts on
 single characters, so the ids of a text are the ids of its white-space separated parts; each part is encoded once and
-remembered.
+remembered. The tokenizer knows the names of its special tokens, as they are written, before it lower-cases; a part that
+holds one goes through the whole tokenizer as it is, and is told from the same part made by lower-casing.
 
 Defined results: a null text counts as empty, and an empty text is the closing id alone; equal rows are packed one by
 one; null and repeated ``doc_id`` are carried along; an empty table gives an empty result. Only ``doc_id`` and the text
@@ -52,8 +53,11 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        #: For lower-cased parts: what only looks like a special token there was none in the text.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.visible = byte_letters()
         self.stops = {mark: self._packed(self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,"}
@@ -73,10 +77,13 @@ class Words(dict):
         """Encode those of ``words`` that are not known."""
         if len(self) > CACHED:
             self.clear()
-        others = []
+        others, as_they_are = [], []
         for word in words:
             if word in self:
                 continue
+            if word[:1] == AS_IT_IS:
+                as_they_are.append(word)
+                continue
             stop = word[-1:] if word[-1:] in self.stops else ""
             core = word[:-1] if stop else word
             if core.isalpha() and max(core) < LATIN_END:
@@ -85,8 +92,12 @@ class Words(dict):
                 others.append(word)
         for word, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self[word] = self._packed(encoding.ids)
+        for word in as_they_are:
+            self[word] = self._packed(self.whole.encode(word[1:], add_special_tokens=False).ids)
 
 
+#: Starts the key of a part that is not lower-cased. No other key starts with white space.
+AS_IT_IS = " "
 #: Letters below this code point are composed, so normalising leaves them alone.
 LATIN_END = "\u0250"
 
@@ -119,13 +130,25 @@ def split_text(text: str) -> list[str]:
     return lowered.split()
 
 
+def split_special(text: str, special: list[str]) -> list[str]:
+    """Like `split_text`, for a text with special tokens: parts that hold one stay as they are."""
+    parts = []
+    for part in re.split(r"(?:(?![\x1c-\x1f])\s)+", text):
+        if any(name in part for name in special):
+            parts.append(AS_IT_IS + part)
+        else:
+            parts += split_text(part)
+    return parts
+
+
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text, without the closing id, four bytes each; a few texts at a time share one dictionary pass."""
     words = known_words(path)
     held: list[list[str]] = []
     size = 0
     for text in texts:
-        held.append(split_text(text))
+        special = any(name in text for name in words.special)
+        held.append(split_special(text, words.special) if special else split_text(text))
         size += len(held[-1])
         if size > 100_000:
             yield from _joined(held, words)

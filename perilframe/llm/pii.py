@@ -7,10 +7,19 @@ across documents; separators, letter case and lengths of fields stay as they are
 form: the same card number or date in another notation gets the same pseudonym.
 
 Text is cut at the matches of one combined pattern, matches are replaced in the array, and the parts are joined again:
-one pass, no shuffle, no user function. Texts without a digit or one of ``@=:`` are passed through at once.
-
-Defined results: a null text stays null, an empty one empty; a match that fails its validation stays as it is; repeated
-rows give equal rows; an empty table gives an empty result; all other columns pass through untouched.
+one pass, no shuffle, no user function. Texts without a digit or one of ``@=:`` are passed through at once. No group of a
+pattern repeats without bound in a way that the regular expressions of the JVM would recurse on, and values are bounded,
+so texts of any length pass.
+
+Found are: mail addresses; access keys of known prefixes, and what is assigned to a word like password if it holds a digit;
+account numbers with valid check digits; dates of the years 1800 to 2199 as ``2021-03-04``, ``04.03.2021``, ``4.3.2021``,
+``04/03/2021``, ``4 March 2021`` and ``March 4, 2021``; network addresses of both versions; social security numbers; phone
+numbers with a country code, in the groupings of North America, or with a leading 0 behind a word like phone; card numbers
+of known issuers with a valid check digit, unbroken or in the groups that cards show.
+
+Defined results: a null text stays null, an empty one empty; a match that fails its validation stays as it is; a day and
+month written without leading zeros may change their length, and network addresses of version 6 are written in full;
+repeated rows give equal rows; an empty table gives an empty result; all other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -24,9 +33,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Used when no key is given; a deployment passes its own secret.
 KEY = "perilframe"
-#: The dates that are permuted: 271 * 270 days from here on, until the end of April 2100.
-FIRST_DAY = "1900-01-01"
-DAYS = (271, 270)
+#: The dates that are permuted: the 189 * 773 days of the four centuries from here on.
+FIRST_DAY = "1800-01-01"
+DAYS = (189, 773)
 #: Valid social security numbers: areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
@@ -57,7 +66,7 @@ def feistel(left: Column, right: Column, a: int, b: int, key: Column, tweak: str
 
 
 def characters(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value)), lambda at: F.substr(value, at, F.lit(1)))
+    return F.split(value, "(?!^)(?!$)")
 
 
 def _radix(character: Column) -> Column:
@@ -121,8 +130,8 @@ def digits_of(value: Column) -> Column:
 def check_digit(body: Column) -> Column:
     """The digit that makes ``body`` followed by it pass the card number check."""
     total = F.aggregate(F.transform(F.reverse(characters(body)), lambda digit, at: F.when(
-        at % 2 == 0, F.floor(digit.cast("int") * 2 / 10) + digit.cast("int") * 2 % 10
-    ).otherwise(digit.cast("int")).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+        at % 2 == 0, F.floor(digit.try_cast("int") * 2 / 10) + digit.try_cast("int") * 2 % 10
+    ).otherwise(digit.try_cast("int")).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
@@ -145,13 +154,23 @@ def _one_card(value: Column, key: Column) -> Column:
     return in_place(value, made)
 
 
-#: Digits as cards show them: unbroken or in the groups of the networks.
-CARD_SHAPE = "^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?:\\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$"
+#: First digits of card issuers, and the lengths of their numbers.
+ISSUERS = (
+    ("4", (13, 16, 19)), ("5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|220[0-4]", (16,)), ("3[47]", (15,)),
+    ("30[0-5]|3095|3[689]", (14, 16, 17, 18, 19)), ("352[89]|35[3-8]|6011|64[4-9]|65|62|81", (16, 17, 18, 19)),
+    ("50|5[6-8]|6304|67", (13, 14, 15, 16, 17, 18, 19)),
+)
+ISSUED = "^(?:" + "|".join("(?:" + "|".join(f"(?=[0-9]{{{length}}}$)" for length in lengths) + f")(?:{first})"
+                           for first, lengths in ISSUERS) + ")"
+#: Digits as cards show them: unbroken, in halves, or in the groups of the networks.
+CARD_SHAPE = ("^(?:[0-9]{13,19}|[0-9]{8}[ -][0-9]{8}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?:\\1[0-9]{3})?"
+              "|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$")
+#: Groups of a number of such a shape, at most.
+CARD_GROUPS = 5
 
 
-def card(value: Column, key: Column) -> Column:
-    """The valid numbers in a run of digit groups; each starts and ends with a group. Numbers that are grouped as cards
-    are come first, then the longest from the left; other groups of the run stay."""
+def cards(value: Column, key: Column) -> Column:
+    """Struct (made, n): a run of digit groups with its card numbers replaced, from the left, the longest at each place."""
     return let(F.split(value, "(?<=[ -])"), lambda groups: _cards(groups, key))
 
 
@@ -159,35 +178,43 @@ def _cards(groups: Column, key: Column) -> Column:
     def shown(first: Column, last: Column) -> Column:
         return F.regexp_replace(F.array_join(F.slice(groups, first, last - first + 1), ""), "[ -]$", "")
 
+    def valid(text: Column) -> Column:
+        return text.rlike(CARD_SHAPE) & digits_of(text).rlike(ISSUED) & _is_card(text)
+
     size = F.size(groups)
-    # A number of 19 digits has 19 groups at most.
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda first: F.filter(F.transform(
-        F.sequence(first, F.least(first + 18, size)), lambda last: let(shown(first, last), lambda text: F.when(
-            F.length(text).between(13, 37) & _is_card(text),
-            F.struct((~text.rlike(CARD_SHAPE)).alias("loose"), first.alias("first"), (-last).alias("last"))))),
-        lambda span: span.isNotNull())))
-    chosen = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,last:int>>"), lambda held, span: F.when(
-        F.exists(held, lambda other: (span["first"] <= other["last"]) & (other["first"] <= -span["last"])), held).otherwise(
-        F.array_append(held, F.struct(span["first"].alias("first"), (-span["last"]).alias("last")))))
-    empty = F.struct(F.lit(1).alias("at"), F.lit("").alias("made"))
+    starts = F.filter(F.sequence(F.lit(1), size), lambda first: F.element_at(groups, first).rlike(
+        "^(?:[0-9]{4}|[0-9]{8}|[0-9]{13,19})[ -]?$"))
+    spans = F.transform(starts, lambda first: F.struct(first.alias("first"), F.array_max(F.filter(
+        F.sequence(first, F.least(first + CARD_GROUPS - 1, size)), lambda last: valid(shown(first, last)))).alias("last")))
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done: Column, span: Column) -> Column:
         before = F.array_join(F.slice(groups, done["at"], span["first"] - done["at"]), "")
         mark = F.regexp_extract(F.element_at(groups, span["last"]), "[ -]$", 0)
-        return F.struct((span["last"] + 1).alias("at"), F.concat(
-            done["made"], before, _one_card(shown(span["first"], span["last"]), key), mark).alias("made"))
+        made = F.concat(before, _one_card(shown(span["first"], span["last"]), key), mark)
+        return F.when(span["first"] < done["at"], done).otherwise(F.struct(
+            (span["last"] + 1).alias("at"), F.array_append(done["parts"], made).alias("parts")))
+
+    def finish(done: Column) -> Column:
+        return F.struct(F.concat(F.array_join(done["parts"], ""), F.array_join(F.slice(groups, done["at"], size), "")).alias("made"),
+                        F.size(done["parts"]).alias("n"))
+
+    return F.aggregate(F.filter(spans, lambda span: span["last"].isNotNull()), none, step, finish)
 
-    return let(chosen, lambda found: F.when(F.size(found) > 0, F.aggregate(
-        F.array_sort(found), empty, step,
-        lambda done: F.concat(done["made"], F.array_join(F.slice(groups, done["at"], size), "")))))
+
+#: Country calling codes. Those of one and two digits; all others have three.
+CALLING = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def phone(value: Column, key: Column) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    national = F.substr(value, F.length(code) + 1, F.length(value))
-    moved = in_place(national, feistel_characters(digits_of(national), key, F.lit("phone")))
-    return F.when(F.length(digits_of(value)).between(7, 15), F.concat(code, moved))
+    """Country code and trunk 0 stay; the national number is the same in every notation."""
+    def moved(digits: Column) -> Column:
+        kept = F.when(value.startswith("+"), F.regexp_extract(digits, CALLING, 0)).otherwise(F.regexp_extract(digits, "^0*", 0))
+        national = F.substr(digits, F.length(kept) + 1, F.length(digits))
+        return F.when(F.length(digits).between(7, 15) & (F.length(national) >= 5), in_place(
+            value, F.concat(kept, feistel_characters(national, key, F.lit("phone")))))
+
+    return let(digits_of(value), moved)
 
 
 def social(value: Column, key: Column) -> Column:
@@ -214,25 +241,62 @@ def address(value: Column, key: Column) -> Column:
     return F.when(valid, made)
 
 
-def date(value: Column, key: Column) -> Column:
-    """Year first, or day first, or month first where that alone is a date."""
-    iso = value.rlike("^[0-9]{4}-")
-    found = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(F.coalesce(
-        F.try_to_date(F.translate(value, "./", "--"), "dd-MM-yyyy"),
-        F.try_to_date(F.translate(value, "./", "--"), "MM-dd-yyyy")))
-    monthly = ~iso & F.try_to_date(F.translate(value, "./", "--"), "dd-MM-yyyy").isNull()
-    number = F.datediff(found, F.lit(FIRST_DAY).cast("date"))
-    pair = feistel(F.floor(number / DAYS[1]), number % DAYS[1], DAYS[0], DAYS[1], key, "date")
+def address6(value: Column, key: Column) -> Column:
+    """All eight groups, in full. The network part is permuted by itself, so machines of one network stay in one."""
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda group: group != "")
 
-    def shown(p: Column) -> Column:
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-        mark = F.substr(value, F.lit(3), F.lit(1))
-        return F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(
-            monthly, F.concat_ws("", F.date_format(day, "MM"), mark, F.date_format(day, "dd"), mark,
-                                 F.date_format(day, "yyyy"))).otherwise(
-            F.concat_ws("", F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")))
+    halves = F.split(F.lower(value), "::")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.when((missing == 0) | ((missing > 0) & value.contains("::")), F.concat(
+        left, F.array_repeat(F.lit("0"), missing), right))
 
-    return F.when(number.between(0, DAYS[0] * DAYS[1] - 1), let(pair, shown))
+    def moved(all_groups: Column) -> Column:
+        words = [F.conv(F.concat(*[F.lpad(F.get(all_groups, F.lit(2 * at + side)), 4, "0") for side in (0, 1)]), 16, 10).cast("long")
+                 for at in range(4)]
+        size = 1 << 32
+        return let(feistel(words[0], words[1], size, size, key, "network"), lambda net: let(
+            feistel(words[2], words[3], size, size, F.concat_ws("|", key, words[0].cast("string"), words[1].cast("string")), "machine"),
+            lambda own: F.regexp_replace(F.concat(*[F.lower(F.lpad(F.hex(pair[half]), 8, "0")) for pair in (net, own) for half in ("l", "r")]),
+                                         "(?<!^)(?=(?:[0-9a-f]{4})+$)", ":")))
+
+    return F.when(whole.isNotNull(), let(whole, moved))
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def date(value: Column, key: Column) -> Column:
+    """Year first, or day first, or month first where that alone is a date."""
+    marks = F.regexp_replace(value, "[./]", "-")
+    # How a value may be read, and how its pseudonym is written.
+    styles = (
+        (value.rlike("^[0-9]{4}-"), value, "yyyy-MM-dd", "yyyy-MM-dd"),
+        (value.rlike("^[A-Z]"), value, "MMMM d, yyyy", "MMMM d, yyyy"),
+        (value.rlike("[A-Z]"), value, "d MMMM yyyy", "d MMMM yyyy"),
+        (value.rlike(r"^[0-9]{2}\.[0-9]{2}\."), marks, "dd-MM-yyyy", "dd.MM.yyyy"),
+        (value.rlike(r"\."), marks, "d-M-yyyy", "d.M.yyyy"),
+        (F.try_to_date(marks, "dd-MM-yyyy").isNotNull(), marks, "dd-MM-yyyy", "dd/MM/yyyy"),
+        (F.lit(True), marks, "MM-dd-yyyy", "MM/dd/yyyy"),
+    )
+    found, shown = F.lit(None).cast("date"), F.lit(None).cast("string")
+
+    def made(day: Column) -> Column:
+        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        pair = feistel(F.floor(number / DAYS[1]), number % DAYS[1], DAYS[0], DAYS[1], key, "date")
+        return F.when(number.between(0, DAYS[0] * DAYS[1] - 1), let(pair, lambda p: let(F.date_add(
+            F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int")), written)))
+
+    def written(day: Column) -> Column:
+        text = shown
+        for style, _, _, pattern in reversed(styles):
+            text = F.when(style, F.date_format(day, pattern)).otherwise(text)
+        return text
+
+    for style, read, pattern, _ in reversed(styles):
+        found = F.when(style, F.try_to_date(read, pattern)).otherwise(found)
+    return let(found, made)
 
 
 def account(value: Column, key: Column) -> Column:
@@ -268,9 +332,14 @@ def email(value: Column, key: Column) -> Column:
     return F.concat_ws("@", feistel_characters(local, key, F.concat(F.lit("email"), F.lower(domain))), domain)
 
 
+#: Prefixes of access keys that tell what they are.
+KEY_PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sprk]k_(?:live|test)_|xox[abprs]-|AIza|sk-"
+ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+
+
 def credential(value: Column, key: Column) -> Column:
     """Keys and passwords: what follows the fixed prefix or the assignment sign."""
-    prefix = F.regexp_extract(value, r"^(AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
+    prefix = F.regexp_extract(value, rf"^(?:{ASSIGNED}|{KEY_PREFIXES})", 0)
     rest = F.substr(value, F.length(prefix) + 1, F.length(value))
     return F.concat(prefix, feistel_characters(rest, key, F.lit("credential")))
 
@@ -279,6 +348,7 @@ def credential(value: Column, key: Column) -> Column:
 class Kind:
     name: str
     pattern: str
+    #: The replaced value, or null if it isn't valid; of cards, a struct of the run and how many it held.
     pseudonym: Callable[[Column, Column], Column]
     #: How a matched value is known again, where the pattern looks at what surrounds it.
     again: str | None = None
@@ -302,25 +372,31 @@ def _account_pattern() -> str:
             r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))")
 
 
-#: In order of precedence, cards after these. Every pattern starts where no value is under way, and quantifiers give nothing back.
+_LABEL = "[0-9A-Fa-f]{1,4}"
+#: In order of precedence, cards after these. Every pattern starts where no value is under way, and quantifiers give nothing
+#: back or are bounded.
 OTHERS = (
-    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", email),
-    Kind("credential", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-                       r"|(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-                       r"[A-Za-z0-9/+_-]{8,}", credential),
+    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,128}+@[A-Za-z0-9-][A-Za-z0-9.-]{0,251}\.[A-Za-z]{2,63}", email),
+    Kind("credential", rf"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{{16}}|(?!A[KS]IA)(?:{KEY_PREFIXES})[A-Za-z0-9_-]{{16,255}}+)(?![A-Za-z0-9])"
+                       rf"|(?<![A-Za-z]){ASSIGNED}(?=[A-Za-z/+_-]{{0,255}}[0-9])[A-Za-z0-9/+_-]{{8,512}}+", credential),
     Kind("account", _account_pattern(), account),
-    Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4})(?![0-9]|[./-][0-9])", date),
+    Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
+                 rf"(?![0-9]|[./-][0-9])|(?<![A-Za-z0-9.,-])(?:[0-9]{{1,2}} (?:{MONTHS})|(?:{MONTHS}) [0-9]{{1,2}},) [0-9]{{4}}(?![0-9])", date),
     Kind("address", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", address),
+    Kind("address6", rf"(?<![0-9A-Za-z:.])(?:(?:{_LABEL}:){{7}}{_LABEL}|(?:{_LABEL}:){{2,6}}(?::{_LABEL}){{1,5}}|{_LABEL}:(?::{_LABEL}){{2,6}})"
+                     r"(?![0-9A-Za-z:])", address6),
     Kind("social", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", social),
     Kind("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-                  r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|-[0-9])", phone),
+                  r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|-[0-9])"
+                  r"|(?<![A-Za-z])(?i:tel|telephone|telefon|phone|fon|fax|mobile?|handy)(?:[.:]|\.:)? ?0[0-9]{1,4}(?:[ /-]?[0-9]{2,8}){1,4}(?![0-9])",
+         phone),
 )
 #: A run of digit groups with 13 digits at least. It ends before a value of another kind, and before a group that a letter or a
 #: decimal follows. Possessive groups are matched in a loop, so a run may have any length.
 _GROUP = r"[0-9]++(?![A-Za-z]|\.[0-9])"
 _RUN = (rf"(?<![0-9A-Za-z.-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}"
         rf"(?:[ -](?!{'|'.join(f'(?:{kind.pattern})' for kind in OTHERS)}){_GROUP})*+")
-KINDS = (*OTHERS, Kind("card", _RUN, card, again="[0-9][0-9 -]*"))
+KINDS = (*OTHERS, Kind("card", _RUN, cards, again="[0-9][0-9 -]*"))
 
 
 def _combined() -> str:
@@ -331,12 +407,15 @@ PATTERN = _combined()
 
 
 def pseudonym(value: Column, key: Column) -> Column:
-    """The pseudonym of a matched value, or the value itself if it isn't valid."""
+    """Struct (made, n): what a match is replaced by, and how many valid values it held."""
     made = None
     for kind in KINDS:
         test = value.rlike(f"^(?:{kind.again or kind.pattern})$")
-        made = F.when(test, kind.pseudonym(value, key)) if made is None else made.when(test, kind.pseudonym(value, key))
-    return F.coalesce(made, value)
+        found = kind.pseudonym(value, key)
+        if kind.name != "card":
+            found = let(found, lambda one: F.struct(F.coalesce(one, value).alias("made"), one.isNotNull().cast("int").alias("n")))
+        made = F.when(test, found) if made is None else made.when(test, found)
+    return F.coalesce(made, F.struct(value.alias("made"), F.lit(0).alias("n")))
 
 
 def pseudonymised(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -349,9 +428,9 @@ def pseudonymised(df: DataFrame, key: str = KEY, text: str = "text") -> DataFram
     some = F.coalesce(F.size("found") > 0, F.lit(False))
     parts = cut.withColumn("gaps", F.when(some, F.split(source, PATTERN, -1))).withColumn(
         "named", F.when(some, F.transform("found", lambda value: pseudonym(value, F.lit(key)))))
-    joined = F.array_join(F.zip_with("gaps", "named", lambda gap, name: F.concat(gap, F.coalesce(name, F.lit("")))), "")
-    made = parts.select("row", F.when(some, joined).otherwise(source).alias("made"), F.coalesce(F.size(F.filter(F.arrays_zip(
-        "found", "named"), lambda pair: pair["found"] != pair["named"])), F.lit(0)).cast("long").alias("changed"))
+    joined = F.array_join(F.zip_with("gaps", "named", lambda gap, name: F.concat(gap, F.coalesce(name["made"], F.lit("")))), "")
+    made = parts.select("row", F.when(some, joined).otherwise(source).alias("made"), F.coalesce(F.aggregate(
+        "named", F.lit(0).cast("long"), lambda total, name: total + name["n"]), F.lit(0).cast("long")).alias("changed"))
     replaced = {text: F.col("made")}
     if "n_chars" in df.columns:
         replaced["n_chars"] = F.length("made").cast(df.schema["n_chars"].dataType)

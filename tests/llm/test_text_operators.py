@@ -145,9 +145,11 @@ def test_packing_is_whole_and_tight(spark, windows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    special = ["end <|endoftext|> next <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|>.<|endoftext|>Wörd<|STARTofTEXT|>", "A<|endoftext|>B\x1c<|startoftext|>\u2003Σ",
+               "<|endoftext|", " <|endoftext|>", "<|ENDOFTEXT|>"]
     frame = odd_documents(spark).select("doc_id", "text").unionByName(
-        documents(spark, ["Σίσυφος don't a.b, <|endoftext|> word. " * (n % 37 + 1) for n in range(300)], 100).select("doc_id", "text"))
+        documents(spark, ["Σίσυφος don't a.b, <|endoftext|> word. " * (n % 37 + 1) for n in range(300)] + special, 100).select("doc_id", "text"))
+    assert tokenizer.encode(special[0], add_special_tokens=False).ids == [806, 49407, 1131, 49406]
     pieces = Counter()
     for row in frame.collect():
         ids = tokenizer.encode(row["text"] or "", add_special_tokens=False).ids + [2]
