@@ -1,12 +1,14 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Every block element of a page is a node that holds no content, only content, or both. A node's potential is the likelihood
-of what can be seen of it (tag, words of its attributes, length, links, punctuation), a parent-child potential says how states
-follow each other, and sum-product messages, first from the leaves to the root, then back, give each node's exact
-marginal. Text counts as content if the marginal of its element is above `LEVEL`, where the
-labelled pages show few errors of either kind. Both kinds of potentials are counted
-from labelled pages by a Spark job (`fit`); in a labelled page, ``data-label`` is ``main`` or ``other`` and holds for
-all that is inside. `labelled_pages` makes a set for a start; any table with such pages can take its place.
+Every block element of a page is a node that holds no content, only content, or both, and every run of text that stands
+directly in an element is a leaf below it, which is content or not. So an article that holds an advert or its readers'
+comments loses none of its own text. A node's potential is the likelihood of what can be seen of it (tag, words of its
+attributes, length, links; of a leaf also its sentences), a parent-child potential says how states follow each other, and
+sum-product messages, first from the leaves to the root, then back, give each node's exact marginal. A run of text is taken
+if the marginal of its leaf is above `LEVEL`, where the labelled pages show few errors of either kind. Both kinds of
+potentials are counted from labelled pages by a Spark job (`fit`); in a labelled page, ``data-label`` is ``main`` or
+``other`` and holds for all that is inside. `labelled_pages` makes a set for a start; any table with such pages can take
+its place.
 
 Defined results: a null or empty html has an empty text; markup that is cut off or badly nested is read as far as it
 goes; repeated rows give equal rows; an empty table gives an empty result. Only ``page_id``, ``url`` and ``html`` are read.
@@ -56,11 +58,15 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SENTENCE = re.compile(r"[.!?](?=\s|$)")
 
 #: Marginal above which text is taken: missing text costs more than it does to be unsure.
-LEVEL = 0.3
+LEVEL = 0.2
 #: What an element may be: without content, content only, or a container of both.
 STATES = OUTSIDE, CONTENT, MIXED = 0, 1, 2
 
 
+#: Stands for the tag of a run of text.
+TEXT = "#text"
+
+
 @dataclass
 class Node:
     tag: str
@@ -143,20 +149,24 @@ def attributes(source: str) -> tuple[frozenset[str], str | None]:
 
 
 def tree(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order, the root first, and the blocks of text with the element each belongs to."""
+    """Block elements and runs of text in page order, the root first, and the texts with the leaf of each."""
     nodes = [Node("html", -1, frozenset())]
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # name, node, silent
     blocks: list[tuple[int, str]] = []
     line: list[str] = []
-    links = 0
+    links = linked = 0
 
     def end_block() -> None:
+        nonlocal linked
         if line:
             text = " ".join("".join(line).split())
             line.clear()
             if text:
-                blocks.append((stack[-1][1], text))
-                nodes[stack[-1][1]].stops += len(SENTENCE.findall(text))
+                above = stack[-1][1]
+                blocks.append((len(nodes), text))
+                size = len(text) - text.count(" ")
+                nodes.append(Node(TEXT, above, frozenset(), nodes[above].label, size, min(linked, size), len(SENTENCE.findall(text))))
+            linked = 0
 
     def close(depth: int) -> None:
         nonlocal links
@@ -182,10 +192,8 @@ def tree(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not stack[-1][2]:
                 text = unescape(source)
                 line.append(text)
-                size = len(text) - text.count(" ")
-                nodes[stack[-1][1]].chars += size
                 if links:
-                    nodes[stack[-1][1]].linked += size
+                    linked += len(text) - text.count(" ")
         elif kind == "open":
             if name in VOID:
                 if name == "br":
@@ -229,14 +237,19 @@ def tree(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def describe(nodes: list[Node]) -> list[int]:
     """Fills in the features of every node; returns how much text each holds, its descendants included."""
-    size, linked = [node.chars for node in nodes], [node.linked for node in nodes]
+    size, linked, children = [node.chars for node in nodes], [node.linked for node in nodes], [0] * len(nodes)
     for place in range(len(nodes) - 1, 0, -1):
+        children[nodes[place].parent] += 1
         size[nodes[place].parent] += size[place]
         linked[nodes[place].parent] += linked[place]
     for place, node in enumerate(nodes):
         share = linked[place] / size[place] if size[place] else 0.0
-        node.features = [f"tag={node.tag}", f"size={min(10, size[place].bit_length())}", f"links={round(share * 4)}",
-                         f"stops={min(3, node.stops)}", *[f"word={word}" for word in sorted(node.tokens)]]
+        kind = "leaf" if node.tag == TEXT else ""
+        seen = [f"{kind}size={min(10, size[place].bit_length())}", f"{kind}links={round(share * 4)}"]
+        if kind:
+            # An only child is as long as its parent, where that has been seen already.
+            seen = seen * (children[node.parent] > 1) + [f"stops={min(3, node.stops)}"]
+        node.features = [f"tag={node.tag}", *seen, *[f"word={word}" for word in sorted(node.tokens)]]
     return size
 
 
@@ -252,7 +265,9 @@ class Model:
         for name in seen:
             # A word is there or not; of the others, each node has one value.
             kind = 2 if name.startswith("word=") else kinds[name.split("=")[0]]
-            self.seen[name] = [log((counts.get((name, state), 0) + smooth) / (totals[state] + smooth * kind))
+            # Sizes and shares are steps of a scale: that one of them was not seen says little.
+            extra = smooth if name.startswith(("word=", "tag=")) else 1.0
+            self.seen[name] = [log((counts.get((name, state), 0) + extra) / (totals[state] + extra * kind))
                                for state in STATES]
         self.follow = []
         for above in STATES:

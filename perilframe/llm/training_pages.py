@@ -60,8 +60,15 @@ def body(start: int) -> str:
     return text
 
 
-def _main(opening: str, closing: str):
-    return lambda start: f'<{opening} data-label="main">{body(start)}</{closing}>'
+def flowing(start: int) -> str:
+    """Text that stands directly in its element: paragraphs are parted by line breaks, or not at all."""
+    gap = ("<br><br>", "<br>", " ", "<br/>\n<br/>")[start % 4]
+    text = gap.join(paragraph(start * 5 + place) for place in range(1 + start % 6))
+    return f"<h{1 + start % 2}>{prose(start, 1)}</h{1 + start % 2}>" * (start % 3 != 2) + text
+
+
+def _main(opening: str, closing: str, content=body):
+    return lambda start: f'<{opening} data-label="main">{content(start)}</{closing}>'
 
 
 MAIN = (
@@ -69,6 +76,8 @@ MAIN = (
     _main('div id="content"', "div"), _main('div class="article-body story text"', "div"),
     _main('section class="post-content entry-content"', "section"), _main('div class="main"', "div"), _main("div", "div"),
     _main('div itemprop="articleBody"', "div"), _main('div class="page-body copy"', "div"),
+    _main("article", "article", flowing), _main('div class="story text"', "div", flowing), _main("div", "div", flowing),
+    _main('div class="post-body entry"', "div", flowing), _main('div id="content"', "div", flowing),
 )
 
 
@@ -89,8 +98,8 @@ def _set(number: int) -> tuple[str, str, str]:
                f'<div class="alert notice warning gdpr">{prose(number + 2, 1)}</div>',
                f'<div id="banner" class="popup modal overlay">{prose(number, 1)}</div>',
                f'<section class="cookies privacy announcement message">{prose(number, 3)}</section>')
-    adverts = (f'<div class="ad">{prose(number, 1)}</div>', f'<div class="ads advert advertisement">{prose(number, 2)}</div>',
-               f'<aside class="sponsored promo">{prose(number, 2)}</aside>', f'<div id="ad" class="ad sponsor promotion">{prose(number, 3)}</div>')
+    adverts = (f'<div class="ad">{prose(number, 1)}</div>', f'<div class="ads advert advertisement">{prose(number, 2)} <a href="/buy">{prose(number, 1)}</a></div>',
+               f'<aside class="sponsored promo">{prose(number, 2)}</aside>', f'<div id="ad" class="ad sponsor promotion">Buy now! <a href="/ad">{LINKS[number % 10]}</a></div>')
     sides = (f"<aside><h3>Read next</h3><p>{prose(number, 2)}</p><ul>{links(number, 4)}</ul></aside>",
              f'<div class="sidebar widget related"><h2>Related</h2><p>{prose(number, 3)}</p></div>',
              f'<div id="sidebar" role="complementary"><p>{prose(number, 2)}</p></div>',
@@ -117,22 +126,43 @@ def _set(number: int) -> tuple[str, str, str]:
 OTHER = tuple(_set(number) for number in range(16))
 
 
-def _page(before: str, main: str, inside: str, after: str) -> str:
-    if inside:
-        head, tail = main.rsplit("</", 1)
-        main = f"{head}{inside}</{tail}"
-    return f"<!DOCTYPE html><html><head><title>The Post</title></head><body>{before}{main}{after}</body></html>"
+def _held(main: str, inside: str, number: int) -> str:
+    """``main`` with another part in it: after a paragraph or line break of its own, or at its end."""
+    if not inside:
+        return main
+    ends = [place + len(mark) for mark in ("</p>", "<br>") for place in range(len(main)) if main.startswith(mark, place)]
+    at = sorted(ends)[len(ends) // 2] if ends and number % 3 else main.rindex("</")
+    return main[:at] + inside + main[at:]
+
+
+def _page(content: str, opening: str = "<body>") -> str:
+    return f"<!DOCTYPE html><html><head><title>The Post</title></head>{opening}{content}</body></html>"
 
 
 def plain(main, others: tuple[str, str, str], number: int) -> str:
-    return _page(others[0], main(number), others[1], others[2])
+    before, inside, after = others
+    return _page(before + _held(main(number), inside, number) + after)
 
 
 def wrapped(main, others: tuple[str, str, str], number: int) -> str:
     before, inside, after = others
-    return _page(f'<div class="page wrapper container">{before}<div class="row columns">', main(number), inside,
+    return _page(f'<div class="page wrapper container">{before}<div class="row columns">{_held(main(number), inside, number)}'
                  f"</div>{after}</div>")
 
 
-#: The same with and without containers around.
-LAYOUTS = (plain, wrapped)
+def tabled(main, others: tuple[str, str, str], number: int) -> str:
+    """A layout table: menus in one cell, the content in another."""
+    before, inside, after = others
+    menu = f'<td data-label="other">{links(number, 1 + number % 6, ("p", "div", "span")[number % 3])}</td>'
+    return _page(f"{before * (number % 2)}<table><tr>{menu * (number % 4 != 3)}<td>{_held(main(number), inside, number)}</td></tr></table>{after}")
+
+
+def bare(main, others: tuple[str, str, str], number: int) -> str:
+    """Content that stands in the body itself, on some pages alone."""
+    before, inside, after = others if number % 3 else ("", "", "")
+    content = (body, flowing)[number % 2](number)
+    return _page(before + _held(content + "</", inside, number)[:-2] + after, '<body data-label="main">')
+
+
+#: With and without containers around, in a table, and without any element of its own.
+LAYOUTS = (plain, wrapped, tabled, bare)
