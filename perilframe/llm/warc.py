@@ -31,7 +31,11 @@ MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are never recorded as revisits.
 LEAST_REVISIT = 100
 RANGE_BYTES = 1 << 20
+#: What a reading task takes on where the archives fill more tasks than the cluster has cores.
+TASK_BYTES = 1 << 27
 STEP = 1 << 18
+#: Names that Hadoop has for stores which Arrow names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 #: Capture date written to every record, so equal input gives equal archives.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,6 +45,12 @@ RECORDS = ("page_id long, url string, record_type string, refers_to long, declar
            "declared_bytes long, payload binary, path string, offset long")
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path behind a path as Spark names it."""
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else uri)
+
+
 def marked(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, digest`` and the page whose record this one repeats, if any."""
     payload = F.coalesce(F.col("html"), F.lit(""))
@@ -79,7 +89,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     target = folder or scratch_path(pages.sparkSession, "warc")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(target)
+        store, root = store_of(target)
         store.create_dir(root, recursive=True)
         name = f"{root}/pages-{uuid.uuid4().hex}.warc.gz"  # unlike that of any other attempt
         size = records = 0
@@ -120,14 +130,24 @@ def parsed(data: bytes) -> dict | None:
         return None
 
 
-def decoded(source: pa.NativeFile, at: int, size: int) -> tuple[dict, int] | None:
-    """The record whose member starts at ``at`` and where it ends, or None if no record starts there."""
+def decoded(source: pa.NativeFile, data: memoryview, first: int, at: int, size: int) -> tuple[dict, int] | None:
+    """The record whose member starts at ``at`` and where it ends, or None if no record starts there.
+
+    ``data`` holds the file from ``first`` on; the store is asked only for what lies behind it.
+    """
     unpack, out, place = zlib.decompressobj(31), [], at
+    last = first + len(data)
+
+    def block(start: int, count: int) -> bytes | memoryview:
+        return data[start - first:start - first + count] if start < last else source.read_at(min(count, size - start), start)
+
     try:
+        step = 1 << 12  # most candidates and members are short
         while not unpack.eof and place < size:
-            block = source.read_at(min(STEP, size - place), place)
-            out.append(unpack.decompress(block))
-            place += len(block)
+            part = block(place, step)
+            out.append(unpack.decompress(part))
+            place += len(part)
+            step = STEP
             if len(out) == 1 and not out[0].startswith(b"WARC/1.") and len(out[0]) >= 7:
                 return None
     except zlib.error:
@@ -135,8 +155,12 @@ def decoded(source: pa.NativeFile, at: int, size: int) -> tuple[dict, int] | Non
     if not unpack.eof:
         return None
     end = place - len(unpack.unused_data)
-    if end < size and source.read_at(min(len(MAGIC), size - end), end) != MAGIC:
-        return None
+    if end < size:
+        following = bytes(block(end, len(MAGIC)))
+        if len(following) < len(MAGIC) and end + len(following) < size:  # the buffer ends inside
+            following = source.read_at(min(len(MAGIC), size - end), end)
+        if following != MAGIC:
+            return None
     found = parsed(b"".join(out))
     return (found, end) if found else None
 
@@ -144,9 +168,10 @@ def decoded(source: pa.NativeFile, at: int, size: int) -> tuple[dict, int] | Non
 def owned(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]:
     """Offset and record of every member that starts in [start, end)."""
     data = source.read_at(min(end + len(MAGIC) - 1, size) - start, start)
+    view = memoryview(data)
     place = data.find(MAGIC)
     while 0 <= place and start + place < end:
-        found = decoded(source, start + place, size)
+        found = decoded(source, view, start, start + place, size)
         if found:
             yield start + place, found[0]
         place = data.find(MAGIC, found[1] - start if found else place + 1)
@@ -159,7 +184,7 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, batch_bytes: int = 1
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, size, start in zip(batch["path"], batch["size"], batch["start"]):
-                store, name = fs.FileSystem.from_uri(path)
+                store, name = store_of(path)
                 held, weight = [], 0
                 with store.open_input_file(name) as source:
                     for offset, found in owned(source, int(start), min(int(start) + range_bytes, int(size)), int(size)):
@@ -174,7 +199,11 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, batch_bytes: int = 1
     ranges = files.where("size > 0").select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1,
                                              F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(scan, RECORDS)
+    held = files.agg(F.sum("size"), F.sum(F.ceil(F.col("size") / range_bytes))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    # A number that is asked for is kept: ranges are small rows, and Spark would read all of them in one task.
+    tasks = max(1, min(int(held[1] or 0), max(2 * cores, (held[0] or 0) // TASK_BYTES)))
+    return ranges.repartition(tasks, F.col("path"), F.col("start")).mapInPandas(scan, RECORDS)
 
 
 def _frame(held: list[dict], names: list[str]) -> pd.DataFrame:

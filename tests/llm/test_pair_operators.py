@@ -1,5 +1,6 @@
 """Near-duplicates, vectors, pages, archives and the pipeline against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -203,12 +204,24 @@ def test_extraction_query_shape(spark, model):
 
 
 # ---- archives --------------------------------------------------------------------------------
-@pytest.mark.parametrize("range_bytes", [1 << 20, 700, 97])
+def test_store_names():
+    assert warc.store_of("/tmp/a b")[1] == "/tmp/a b" and warc.store_of("file:///tmp/x")[1] == "/tmp/x"
+    assert warc.SCHEMES["s3a"] == "s3"
+
+
+def test_ranges_stay_tasks(spark):
+    files = spark.createDataFrame([("/none", 40 << 20)], "path string, size long")
+    assert warc.read(files).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 20, 7000, 700, 97])
 def test_archives_match_sql(spark, range_bytes):
     inner = warc.member(warc.record(9, "u", b"inner", "0" * 64, None), level=0).decode("latin-1")
     rows = [(1, "http://a/é x\r\n", TEXT * 3), (2, None, TEXT * 3), (0, "b", TEXT * 3), (0, "b", TEXT * 3), (5, "c", None), (6, "d", ""),
             (7, "e", "short"), (8, "f", "short"), (None, "g", TEXT * 3), (10, "h", "\x1f\x8b\x08 raw" * 40), (11, "i", inner * 20),
             (12, "j", "é" * 50), (13, "k", "é" * 50)]
+    if range_bytes > 1000:
+        rows.append((14, "l", "".join(hashlib.sha256(b"%d" % n).hexdigest() for n in range(16_000))))  # a member of several steps
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).repartition(3)
     back = warc.read(warc.write(frame), range_bytes)
     kept = F.col("payload").isNotNull()
