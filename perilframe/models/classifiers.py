@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
@@ -17,6 +17,7 @@ from ..session import scratch_path
 from ..sources.sinks import write_stage
 from . import features as ft
 from .glm import Prepared, with_score
+from .together import sized, together
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,8 @@ class TreeSettings:
 
 BOOSTING = TreeSettings()
 FOREST = TreeSettings(trees=500, depth=10, subsample=1.0)
+#: Memory for the histograms of a level, in MB: with the default, deep levels of many trees take several passes.
+HISTOGRAMS = 1024
 #: The full grids of the parameter search.
 BOOSTING_GRID = {"maxIter": [200, 300, 500], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1]}
 FOREST_GRID = {"numTrees": [300, 500], "maxDepth": [8, 10, 15], "featureSubsetStrategy": ["sqrt", "log2"]}
@@ -66,22 +69,43 @@ def numeric_features(df: DataFrame, features: list[str] = fv.PREDICTIVE_FEATURES
 def boosting(s: TreeSettings = BOOSTING) -> GBTClassifier:
     return GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=s.trees, maxDepth=s.depth,
                          stepSize=s.rate, subsamplingRate=s.subsample, minInstancesPerNode=s.min_leaf,
-                         featureSubsetStrategy=s.subset, seed=s.seed)
+                         featureSubsetStrategy=s.subset, seed=s.seed, maxMemoryInMB=HISTOGRAMS)
 
 
 def forest(s: TreeSettings = FOREST) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=s.trees, maxDepth=s.depth,
                                   subsamplingRate=s.subsample, minInstancesPerNode=s.min_leaf,
-                                  featureSubsetStrategy=s.subset, seed=s.seed)
+                                  featureSubsetStrategy=s.subset, seed=s.seed, maxMemoryInMB=HISTOGRAMS)
 
 
 def fit(estimator, train: DataFrame):
     """Fit with balanced class weights on cached rows."""
-    weighted = ft.with_balanced_weight(train, "label").select("label", "weight", "features").persist()
+    read = train.select("label", "features").persist()
+    weighted = None
     try:
+        weighted = ft.with_balanced_weight(sized(read), "label").select("label", "weight", "features").persist()
         return estimator.fit(weighted)
     finally:
-        weighted.unpersist()
+        for rows in (weighted, read):
+            if rows is not None:
+                rows.unpersist()
+
+
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The boosting that ended after ``count`` rounds: tree n depends on the trees before it and the seed only."""
+    java, context = model._java_obj, SparkContext._active_spark_context
+    jvm, new_array = context._jvm, context._gateway.new_array
+    trees = new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = new_array(jvm.double, count)
+    known, given = java.trees(), java.treeWeights()
+    for place in range(count):
+        trees[place], weights[place] = known[place], given[place]
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    kept = GBTClassificationModel(made)
+    for name in ("labelCol", "featuresCol", "predictionCol", "rawPredictionCol", "probabilityCol"):
+        kept._set(**{name: model.getOrDefault(name)})
+    kept._transfer_params_to_java()
+    return kept
 
 
 def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,34 +119,61 @@ def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
 def cross_validate(data: DataFrame, estimator, keys: list[str], k: int = 5, seed: int = 42, name: str = "model") -> DataFrame:
     """Stratified folds; every fold is scored by a model that has not seen it, and all are measured together."""
     folded = write_stage(sp.kfold(data, keys, k, seed, within=["label"]), scratch_path(data.sparkSession, "folds"))
-    parts = []
-    for fold in range(1, k + 1):
+
+    def scored(fold: int) -> DataFrame:
         model = fit(estimator, folded.filter(F.col("fold") != fold))
-        parts.append(with_score(model, folded.filter(F.col("fold") == fold)).select("fold", "label", "score"))
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
-    return mt.fold_metrics(scored, "fold", "label", "score").withColumn("model", F.lit(name))
+        return with_score(model, folded.filter(F.col("fold") == fold)).select("fold", "label", "score")
+
+    parts = together([lambda fold=fold: scored(fold) for fold in range(1, k + 1)])
+    return mt.fold_metrics(reduce(lambda a, b: a.unionByName(b), parts), "fold", "label", "score").withColumn("model", F.lit(name))
 
 
-def grid_search(train: DataFrame, estimator, grid: dict[str, list], keys: list[str], k: int = 3, parallelism: int = 4):
-    """Ranked mean ROC area of every parameter combination over stratified folds; returns model and table."""
-    folded = sp.kfold(ft.with_balanced_weight(train, "label"), keys, k, within=["label"]).withColumn("fold", F.col("fold") - 1)
-    builder = ParamGridBuilder()
+def _shared_fits(grid: dict[str, list]) -> list[tuple[dict, list[int]]]:
+    """Parameter sets that need a fit of their own, and the numbers of rounds that each one serves."""
+    rounds = grid.get("maxIter")
+    rest = [{}]
     for param, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(param), values)
-    maps = builder.build()
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, numFolds=k, foldCol="fold", parallelism=parallelism,
-                            evaluator=BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction"))
-    cached = folded.select("label", "weight", "features", "fold").persist()
+        if param != "maxIter":
+            rest = [{**chosen, param: value} for chosen in rest for value in values]
+    return [({**chosen, "maxIter": max(rounds)}, sorted(rounds)) if rounds else (chosen, []) for chosen in rest]
+
+
+def grid_search(train: DataFrame, estimator, grid: dict[str, list], keys: list[str], k: int = 3, refit: bool = True):
+    """Ranked mean ROC area of every parameter combination over stratified folds; returns model and table.
+
+    Boosting with fewer rounds is the start of the same boosting with more, so one fit serves all values of ``maxIter``:
+    its first trees are scored on their own. All fits of all folds run together. ``refit`` fits the best combination on
+    all rows; without it, the model is None.
+    """
+    folded = sized(sp.kfold(ft.with_balanced_weight(train, "label"), keys, k, within=["label"]).select(
+        "label", "weight", "features", "fold").persist()).persist()
+    measure = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
+
+    def areas(params: dict, rounds: list[int], fold: int) -> list[tuple[tuple, float]]:
+        held = folded.filter(F.col("fold") == fold)
+        model = estimator.copy({estimator.getParam(name): value for name, value in params.items()}).fit(
+            folded.filter(F.col("fold") != fold))
+        models = [({**params, "maxIter": count}, first_trees(model, count)) for count in rounds] or [(params, model)]
+        return [(tuple(sorted(own.items())), measure.evaluate(one.transform(held))) for own, one in models]
+
+    # The longest first, so that none of them is left to run alone at the end.
+    jobs = sorted(_shared_fits(grid), key=lambda job: -job[0].get("maxDepth", 0) * max(job[0].get("maxIter", 0), job[0].get("numTrees", 0)))
     try:
-        fitted = search.fit(cached)
+        found = together([lambda p=params, r=rounds, f=fold: areas(p, r, f) for params, rounds in jobs for fold in range(1, k + 1)])
     finally:
-        cached.unpersist()
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), float(s))
-            for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)]
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    table = train.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)],
+        folded.unpersist()
+    by_params: dict[tuple, list[float]] = {}
+    for own, area in (pair for part in found for pair in part):
+        by_params.setdefault(own, []).append(area)
+    rows = []
+    for own, values in by_params.items():
+        mean = sum(values) / k
+        rows.append((", ".join(f"{name}={value}" for name, value in own), mean, (sum((v - mean) ** 2 for v in values) / k) ** 0.5, own))
+    rows.sort(key=lambda row: (-row[1], row[0]))
+    table = train.sparkSession.createDataFrame([(*row[:3], place + 1) for place, row in enumerate(rows)],
                                                "params string, mean_test_score double, std_test_score double, rank_test_score int")
-    return fitted.bestModel, table
+    best = {estimator.getParam(name): value for name, value in rows[0][3]}
+    return (fit(estimator.copy(best), train) if refit else None), table
 
 
 def importance(models: dict[str, object], features: list[str]) -> DataFrame:

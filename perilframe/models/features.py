@@ -34,7 +34,8 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians of many columns in one ordered pass over (column, value) counts."""
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
     rows = exact_quantiles(tall, ["feature"], "value", {"median": 0.5}).collect()  # one row per feature
-    return {r["feature"]: r["median"] for r in rows}
+    # A column without any value has no row there.
+    return dict.fromkeys(columns) | {r["feature"]: r["median"] for r in rows}
 
 
 def medians_without(df: DataFrame, columns: list[str], group: str, values: list) -> dict:

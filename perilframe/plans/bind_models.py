@@ -121,15 +121,17 @@ def _(t: Tables):
 @register("hyper_grid_search", digits=6)
 def _(t: Tables):
     kinds = (("Gradient Boosting", cl.boosting(), cl.BOOSTING_GRID), ("Random Forest", cl.forest(), cl.FOREST_GRID))
-    found = [cl.grid_search(risk(t).train, estimator, grid, pn.KEY)[1].withColumn("model", F.lit(name))
+    found = [cl.grid_search(risk(t).train, estimator, grid, pn.KEY, refit=False)[1].withColumn("model", F.lit(name))
              for name, estimator, grid in kinds]
     return found[0].unionByName(found[1])
 
 
 @register("cross_validate_clf", digits=6)
 def _(t: Tables):
-    folds = cl.cross_validate(risk(t).train, cl.forest(), pn.KEY, name="Random Forest")
-    return mt.mean_and_std(folds, ["auc_roc", "avg_precision", "f1_score"])
+    kinds = (("Gradient Boosting", cl.boosting()), ("Random Forest", cl.forest()))
+    found = [mt.mean_and_std(cl.cross_validate(risk(t).train, estimator, pn.KEY, name=name), rb.MEASURED).withColumn("model", F.lit(name))
+             for name, estimator in kinds]
+    return found[0].unionByName(found[1])
 
 
 @register("feature_importance", digits=6)

@@ -48,7 +48,8 @@ def test_single_fits(monkeypatch, spark):
 
 def test_folds_and_grids(monkeypatch, spark):
     folds = called_with(monkeypatch, cl, "cross_validate", "cross_validate_clf")
-    assert sizes(folds["estimator"]) == (500, 10) and folds["k"] == 5
+    # The boosting comes first, then the forest.
+    assert sizes(folds["estimator"]) == (300, 5) and sizes(cl.forest()) == (500, 10) and folds["k"] == 5
     assert called_with(monkeypatch, cl, "grid_search", "hyper_grid_search")["grid"] == {
         "maxIter": [200, 300, 500], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1]}
     assert cl.FOREST_GRID == {"numTrees": [300, 500], "maxDepth": [8, 10, 15], "featureSubsetStrategy": ["sqrt", "log2"]}

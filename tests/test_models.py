@@ -83,3 +83,42 @@ def test_standardise_keeps_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     out = ft.standardise(df, ft.moments(df, ["a", "b"])).orderBy("a").collect()
     assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_first_trees_are_the_shorter_fit(spark, rows):
+    long = cl.fit(cl.boosting(cl.TreeSettings(trees=9, depth=3, min_leaf=5)), rows)
+    short = cl.fit(cl.boosting(cl.TreeSettings(trees=4, depth=3, min_leaf=5)), rows)
+    assert cl.first_trees(long, 4).toDebugString.split("\n", 1)[1] == short.toDebugString.split("\n", 1)[1]
+    both = [model.transform(rows).select("id", vector_to_array("rawPrediction")[1]).orderBy("id").collect()
+            for model in (cl.first_trees(long, 4), short)]
+    assert both[0] == both[1] and cl.first_trees(long, 9).getNumTrees == 9
+
+
+def test_grid_search_equals_fits_of_their_own(spark, rows):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    small = cl.TreeSettings(trees=3, depth=2, min_leaf=5)
+    model, table = cl.grid_search(rows, cl.boosting(small), {"maxIter": [2, 5], "maxDepth": [1, 2]}, ["id"], k=2)
+    found = {row.params: row for row in table.collect()}
+    assert len(found) == 4 and sorted(row.rank_test_score for row in found.values()) == [1, 2, 3, 4]
+    folded = cl.sized(cl.sp.kfold(ft.with_balanced_weight(rows, "label"), ["id"], 2, within=["label"])).cache()
+    areas = [BinaryClassificationEvaluator(labelCol="label").evaluate(
+        cl.boosting(cl.TreeSettings(trees=2, depth=1, min_leaf=5)).fit(folded.filter(F.col("fold") != fold)).transform(
+            folded.filter(F.col("fold") == fold))) for fold in (1, 2)]
+    assert found["maxDepth=1, maxIter=2"].mean_test_score == pytest.approx(np.mean(areas), abs=0.02)
+    assert model.getNumTrees in (2, 5)
+
+
+def test_medians_of_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, y double")
+    assert ft.medians(df, ["x", "y"]) == {"x": 2.0, "y": None}
+    assert [row.y for row in ft.impute(df, ft.medians(df, ["x", "y"])).collect()] == [0.0, 0.0]
+
+
+def test_jobs_run_together_in_order(spark):
+    from perilframe.models.together import sized, together
+
+    assert together([lambda n=n: spark.range(n).count() for n in range(12)]) == list(range(12)) and together([]) == []
+    with pytest.raises(ZeroDivisionError):
+        together([lambda: 1, lambda: 1 // 0, lambda: 2])
+    assert sized(spark.range(100).repartition(6), 40).rdd.getNumPartitions() == 3
