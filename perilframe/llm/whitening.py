@@ -54,12 +54,15 @@ class Model:
     identity_error: float = 0.0
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector has entries, all of them finite."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda c: F.abs(c) < float("inf")), F.lit(False))
+
+
 def whole(vector: Column) -> Column:
-    """The scaled vector, or null where it is not usable."""
-    sound = (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    scaled = F.transform(vector, lambda c: F.floor(
+    """The scaled vector."""
+    return F.transform(vector, lambda c: F.floor(
         F.greatest(F.least(F.lit(SCALE) * c, F.lit(BOUND)), F.lit(-BOUND))) + F.lit(SHIFT).cast("long"))
-    return F.when(F.coalesce(sound, F.lit(False)), scaled)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -124,8 +127,10 @@ def fit(rows: DataFrame, dim: int, components: int = COMPONENTS) -> Model:
     at = [F.col("x")[place] for place in range(dim)]
     known = rows.select(
         F.count(F.lit(1)), F.array([F.min(value) for value in at]), F.array([F.max(value) for value in at]),
-        F.array([F.sum(value.cast("decimal(38,0)")) for value in at])).first()
-    n, least, most, sums = known[0], known[1], known[2], [int(total) for total in known[3]]
+        F.array([F.try_sum(value) for value in at])).first()
+    n, least, most, sums = known
+    if None in sums:  # beyond 64 bits
+        sums = [int(total) for total in rows.select(*[F.sum(value.cast("decimal(38,0)")) for value in at]).first()]
     bits = [(high - low).bit_length() for low, high in zip(least, most)]
     # Of the shifted columns; shifting changes no centred product.
     shifted = [total - n * low for total, low in zip(sums, least)]
@@ -188,8 +193,10 @@ def deviation_from_identity(rows: DataFrame, model: Model) -> float:
 
 def whitened(df: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """One row per usable vector and component: `WHITENED`."""
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding").cast("array<double>")).alias("x")
-                     ).where("x IS NOT NULL").withColumn("dim", F.size("x"))
+    vector = F.col("embedding").cast("array<double>")
+    # Filtered on the vector, not on what is made of it: a filter on x would have it made twice.
+    rows = df.where(usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), whole(vector).alias("x"), F.size("embedding").alias("dim"))
     distinct = written(rows.groupBy("x", "dim").agg(F.count(F.lit(1)).alias("copies")), "whitening-fit")
     lengths = [row["dim"] for row in distinct.select("dim").distinct().collect()]  # one row per vector length
     models = {dim: fit(distinct.where(F.col("dim") == dim), dim, components) for dim in sorted(lengths)}
