@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
 from .dedup import first_per_key
-from .ordered import grouped_stats
+from .refine import refined_stats
 
 CLAIM_AMOUNTS = [
     "amountPaidOnBuildingClaim", "amountPaidOnContentsClaim", "amountPaidOnIncreasedCostOfComplianceClaim",
@@ -46,7 +46,7 @@ def valid_claims(claims: DataFrame, start_year: int = fv.START_YEAR, end_year: i
 def claims_entity_year(raw: DataFrame, start_year: int = fv.START_YEAR, end_year: int = fv.END_YEAR) -> DataFrame:
     claims = valid_claims(claim_amounts(raw), start_year, end_year).withColumnRenamed("yearOfLoss", "year")
     keys = ["county_fips", "year"]
-    stats = grouped_stats(claims, keys, "total_claim_paid", {"median_claim_severity": 0.5}, {
+    stats = refined_stats(claims, keys, "total_claim_paid", {"median_claim_severity": 0.5}, {
         "damage": F.col("total_damage"), "ratio": F.col("loss_ratio"), "coverage": F.col("total_coverage"),
         "primary": fc.flag(F.col("primaryResidenceIndicator") == "Y")})
     rows = F.col("n_rows")
@@ -67,7 +67,7 @@ def policies_entity_year(raw: DataFrame) -> DataFrame:
                 .withColumns({"countyCode": fc.pad_code("countyCode", 5),
                               "year": F.year(fc.timestamp("policyEffectiveDate"))})
                 .dropna(subset=keys))
-    stats = grouped_stats(policies, keys, money[0], {"median_premium": 0.5}, {
+    stats = refined_stats(policies, keys, money[0], {"median_premium": 0.5}, {
         "building": F.col(money[1]), "contents": F.col(money[2]), "policies": F.col(money[3])})
 
     def or_zero(c: str) -> Column:
