@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
 from .dedup import duplicate_keys
+from .guard import JoinGuard
 
 KEY = ["county_fips", "year"]
 ZERO_FILLED = ["claim_count", "total_claims_paid", "avg_claim_severity", "median_claim_severity",
@@ -44,11 +45,12 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "metr
 
 
 def build_panel(events_year: DataFrame, claims: DataFrame, assistance: DataFrame, demographics: DataFrame,
-                macro: DataFrame, policies: DataFrame | None = None, check_keys: bool = False) -> DataFrame:
+                macro: DataFrame, policies: DataFrame | None = None, check_keys: bool = False,
+                guard: JoinGuard | None = None) -> DataFrame:
     """Left-join every source onto the event spine and fill the claim columns with 0.
 
-    All sides are keyed aggregates, so each join adds columns only; ``check_keys`` verifies that and
-    raises if a right side would multiply rows. No side is broadcast by hint: the optimizer does so
+    All sides are keyed aggregates, so each join adds columns only. ``guard`` measures that while the panel is
+    written, and its ``verify`` raises if a right side multiplied rows; ``check_keys`` asks before, by jobs of its own. No side is broadcast by hint: the optimizer does so
     only below its size limit, measured at run time.
     """
     if policies is not None:
@@ -62,7 +64,7 @@ def build_panel(events_year: DataFrame, claims: DataFrame, assistance: DataFrame
             continue
         if check_keys and not duplicate_keys(side, keys).isEmpty():
             raise ValueError(f"keys {keys} are not unique")
-        panel = panel.join(side, keys, "left")
+        panel = guard.left_join(panel, side, keys) if guard else panel.join(side, keys, "left")
     return panel.fillna(0, [c for c in ZERO_FILLED if c in panel.columns])
 
 

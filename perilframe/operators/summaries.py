@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as fc
 from ..functions import fixed_values as fv
-from .ordered import exact_quantiles, grouped_stats, with_quantiles
+from .ordered import exact_quantiles, grouped_stats, positions, with_quantiles
 
 
 def group_sizes(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
@@ -98,8 +98,8 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
              .agg(F.min(F.when(F.col("_x") >= low, F.col("_x"))).alias("whisker_low"),
                   F.max(F.when(F.col("_x") <= high, F.col("_x"))).alias("whisker_high"),
                   F.coalesce(F.sum(F.when((F.col("_x") < low) | (F.col("_x") > high), F.col("_c"))), F.lit(0)).alias("outliers")))
-    # One row per category or region, so the ranking window stays small.
-    return boxes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("median"), group)))
+    # Any column may be the group, so the boxes are put in order in ranges.
+    return positions(boxes, [], [-F.col("median"), F.col(group)], "place")
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, by: list[str] | None = None) -> DataFrame:

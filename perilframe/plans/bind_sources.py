@@ -12,6 +12,7 @@ from ..operators import panel as pn
 from ..session import scratch_path
 from ..sources import readers as rd
 from ..sources import sinks as sk
+from ..sources.cache import cached
 from .bind_metrics import AP, AUC, LS, YOUDEN, over
 from .registry import register, rnd
 from .tables import END, START, Tables, pad_sql, with_views
@@ -141,5 +142,9 @@ def _(t: Tables):
 
 @register("cached_inputs", "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1")
 def _(t: Tables):
-    orders = t.once("cached orders", lambda: t.table("orders").select("o_orderdate").cache())
-    return orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    def build():
+        with cached(t.table("orders").select("o_orderdate")) as orders:
+            by_year = orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+            # A result that outlives the scope is written inside it.
+            return sk.write_stage(by_year, scratch_path(t.spark, "orders-by-year"))
+    return t.once("orders by year", build)

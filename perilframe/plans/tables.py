@@ -15,6 +15,7 @@ from ..operators import events as ev
 from ..operators import insurance as ins
 from ..operators import panel as pn
 from ..operators.events import count_column
+from ..operators.guard import JoinGuard
 from ..session import SETTINGS, scratch_path
 from ..sources.sinks import write_stage
 
@@ -179,11 +180,17 @@ class Tables:
         return ev.entity_year_with_types(self.events())
 
     def panel(self) -> DataFrame:
-        events = self.clean_events_stage()
-        return pn.build_panel(
-            ev.entity_year_with_types(events), ins.claims_entity_year(self.raw_claims(), START, END),
-            ins.assistance_entity_year(self.raw_assistance(), events), self.demographics(),
-            pn.annual_means(self.macro(), START, END), ins.policies_entity_year(self.raw_policies()))
+        """The panel as a stage table; its joins are counted while it is written."""
+        def build() -> DataFrame:
+            events, guard = self.clean_events_stage(), JoinGuard()
+            joined = pn.build_panel(
+                ev.entity_year_with_types(events), ins.claims_entity_year(self.raw_claims(), START, END),
+                ins.assistance_entity_year(self.raw_assistance(), events), self.demographics(),
+                pn.annual_means(self.macro(), START, END), ins.policies_entity_year(self.raw_policies()), guard=guard)
+            landed = write_stage(joined, scratch_path(self.spark, "panel"))
+            guard.verify()
+            return landed
+        return self.once("panel", build)
 
     def panel_features(self) -> DataFrame:
         """The feature panel as a stage table."""
