@@ -6,6 +6,7 @@ Every query runs at the full sizes: tree numbers and depths, grids, folds, test
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -20,8 +21,8 @@ from ..session import scratch_path
 from ..studies import robustness as rb
 from ..studies import sensitivity as se
 from .bind_windows import labelled
-from .registry import register
-from .tables import CUT, END, START, Tables
+from .registry import register, rnd
+from .tables import CUT, END, START, Tables, with_views
 
 #: Every year of the panel that has earlier ones to train on.
 TEST_YEARS = list(range(START + 1, END + 1))
@@ -86,6 +87,25 @@ def _(t: Tables):
     return glm.coefficient_table(glm.fit_glm(data.train, "binomial"), data.features, "Logistic (Claims Surge)").withColumnRenamed("exp_coef", "odds_ratio")
 
 
+#: SQL of every feature of the severity fits, in the units of the fit.
+_VALUES = {**{f'"{c}"': f'CAST("{c}" AS DOUBLE) / {fv.UNIT_DIVISORS.get(c, 1.0)}' for c in fv.SEVERITY_FEATURES},
+           **{f'"fema_region_{r}"': f"CASE WHEN fema_region = {r} THEN 1.0 ELSE 0.0 END" for r in fv.REGIONS}}
+
+
+@register("glm_gamma_score_equations", with_views(f"""SELECT feature, n_rows, {rnd('value', 4)} AS mean_fitted FROM (UNPIVOT
+ (SELECT count(*) AS n_rows, CAST(1 AS DOUBLE) AS intercept, {', '.join(f'CASE WHEN max({c}) > min({c}) THEN avg({c}) END AS {c}' for c in _VALUES)} FROM tr)
+ ON COLUMNS(* EXCLUDE (n_rows)) INTO NAME feature VALUE value)""", "pf",
+          extra=f"""tr AS (SELECT * FROM (SELECT {', '.join(f'{v} AS {c}' for c, v in _VALUES.items())} FROM pf WHERE avg_claim_severity > 0 AND year <= {CUT})
+ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _VALUES)})"""), digits=4)
+def _(t: Tables):
+    """Mean of x * y / fitted for every feature x of the Gamma fit. Where the likelihood is greatest it equals the mean of x, which SQL computes."""
+    data = severity(t)
+    ratio = F.col("label") / F.col("prediction")
+    means = gamma(t).transform(data.train).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(ratio).alias("intercept"),
+                                               *[F.avg(F.col(c) * ratio).alias(c) for c in data.features])
+    return means.unpivot(["n_rows"], ["intercept", *data.features], "feature", "mean_fitted")
+
+
 @register("coef_table", digits=6)
 def _(t: Tables):
     return glm.coefficient_table(gamma(t), severity(t).features, "Gamma GLM")
@@ -148,6 +168,15 @@ def _(t: Tables):
     return at.mean_absolute(attributed(t), risk(t).features)
 
 
+@register("attribution_sums", with_views(f"""SELECT year, count(*) AS n_rows, count(*) AS n_equal FROM pf WHERE year > {CUT} GROUP BY 1""", "pf"))
+def _(t: Tables):
+    """Rows of each test year, and those whose base and contributions add up to the model's raw score."""
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    raw = boosted(t).transform(risk(t).test).select(*pn.KEY, vector_to_array("rawPrediction")[1].alias("raw"))
+    return attributed(t).join(raw, pn.KEY).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - F.col("raw")) < 1e-6).alias("n_equal"))
+
+
 @register("attribution_dependence", digits=6)
 def _(t: Tables):
     return at.dependence(attributed(t), pn.KEY, risk(t).features, 4)

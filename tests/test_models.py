@@ -61,6 +61,44 @@ def test_contributions_add_up_to_the_raw_score(spark, rows, kind):
     assert pairs.count() == 3000 and "a" in {r.feature for r in pairs.select("feature").distinct().collect()}
 
 
+def walked(nodes, x):
+    """Contributions of one row, one tree at a time."""
+    out = np.zeros(len(x))
+    for tree in {n.tree for n in nodes}:
+        own = {n.id: n for n in nodes if n.tree == tree}
+        node = own[0]
+        while node.leftChild >= 0:
+            child = own[node.leftChild if x[node.feature] <= node.threshold else node.rightChild]
+            out[node.feature] += child.value - node.value
+            node = child
+    return out
+
+
+@pytest.mark.parametrize("kind", ["boosting", "forest"])
+def test_contributions_equal_a_walk_down_the_trees(spark, rows, kind):
+    settings = cl.TreeSettings(trees=4, depth=4, min_leaf=5)
+    model = cl.fit(cl.boosting(settings) if kind == "boosting" else cl.forest(settings), rows)
+    few = rows.limit(60).unionByName(rows.filter("id = 3")).cache()
+    nodes = at.tree_nodes(model, spark).drop("feature")
+    path = at.scratch_path(spark, "again")
+    model.write().overwrite().save(path)
+    saved = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.id", "nodeData.split.featureIndex", F.get(
+        "nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
+    nodes = nodes.join(saved.withColumnRenamed("featureIndex", "feature"), ["tree", "id"]).collect()
+    found = at.attribute(model, few, ["id"]).collect()
+    assert sorted(r.id for r in found) == sorted(r.id for r in few.collect())
+    for r in found:
+        assert np.allclose(r.contributions, walked(nodes, r.x), atol=1e-12)
+
+
+def test_contributions_of_trees_without_splits(spark, rows):
+    flat = ft.assemble(rows.select("id", "label", F.lit(1.0).alias("a"), F.lit(2.0).alias("b")), ["a", "b"])
+    model = cl.fit(cl.boosting(cl.TreeSettings(trees=2, depth=2, min_leaf=5)), flat)
+    found = at.attribute(model, flat, ["id"])
+    assert found.count() == 1500 and found.filter("contributions <> array(0D, 0D)").count() == 0
+    assert at.attribute(model, flat.limit(0), ["id"]).collect() == []
+
+
 def test_balanced_weights(spark, rows):
     w = ft.balanced_weights(rows, "label").collect()
     assert sum(r.weight * r.n_class for r in w) == pytest.approx(1500)
