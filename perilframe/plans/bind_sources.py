@@ -13,6 +13,7 @@ from ..session import scratch_path
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..sources.cache import cached
+from ..sources.years import YearStore
 from .bind_metrics import AP, AUC, LS, YOUDEN, over
 from .registry import register, rnd
 from .tables import END, START, Tables, pad_sql, with_views
@@ -109,6 +110,31 @@ def _policy_years(t: Tables) -> str:
     return landed(t, "policies-by-year", land)
 
 
+@register("ingest_year_manifest", with_views(f"""SELECT "countyCode", "propertyState", year, n_records, {rnd('total_premium', 3)} AS total_premium, {rnd('median_premium', 3)} AS median_premium
+ FROM policies_year""", "policies_year"), digits=3)
+def _(t: Tables):
+    """Policies by year in two increments; 1998 fails at first and is repaired, and a year without policies is listed."""
+    premium_name = "totalInsurancePremiumOfThePolicy"
+
+    def land(path: str) -> None:
+        premium = F.col(premium_name)
+        rows = t.raw_policies().filter(F.col("countyCode").isNotNull()).select(
+            F.lpad("countyCode", F.greatest(F.length("countyCode"), F.lit(5)), F.lit("0")).alias("countyCode"), "propertyState", premium,
+            F.year("policyEffectiveDate").alias("year"))
+        years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]  # one row per year
+        store = YearStore(t.spark, path, ["countyCode", "propertyState"], premium_name)
+        for batch, chosen in (("small", premium < 1000), ("large", F.coalesce(premium >= 1000, F.lit(True)))):
+            for year in [*years, years[-1] + 1]:
+                wanted = rows.filter((F.col("year") == year) & chosen)
+                if year == 1998 and batch == "small":
+                    store.add(year, lambda wanted=wanted: wanted.select("never_landed"), batch)
+                store.add(year, lambda wanted=wanted: wanted, batch)
+
+    store = YearStore(t.spark, landed(t, "policy-manifest", land), ["countyCode", "propertyState"], premium_name)
+    return store.figures().select("countyCode", "propertyState", "year", "n_records", F.col("total").alias("total_premium"),
+                                  F.col("median").alias("median_premium"))
+
+
 @register("read_year_partitions", with_views(f"""SELECT year, count(*) AS n_rows, CAST(sum(n_records) AS BIGINT) AS n_records
  FROM policies_year WHERE year BETWEEN 1997 AND 2000 GROUP BY 1""", "policies_year"))
 def _(t: Tables):
