@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,10 +35,16 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
     It is named in ``spark.checkpoint.dir`` and must be visible to every executor. Where that is unset, a
-    folder of the warehouse, which is shared as well, takes its place; no machine's own folder ever does.
+    folder of the warehouse takes its place, which has to be shared as well: on a cluster whose warehouse was left at
+    Spark's default, a folder of the driver's own machine, this is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/perilframe-scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.endswith(f"{os.getcwd()}/spark-warehouse"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{warehouse}/perilframe-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
