@@ -84,7 +84,7 @@ def fit(estimator, train: DataFrame):
     weighted = None
     try:
         weighted = ft.with_balanced_weight(sized(read), "label").select("label", "weight", "features").persist()
-        return estimator.fit(weighted)
+        return ft.without_summary(estimator.fit(weighted))
     finally:
         for rows in (weighted, read):
             if rows is not None:
@@ -117,11 +117,15 @@ def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cross_validate(data: DataFrame, estimator, keys: list[str], k: int = 5, seed: int = 42, name: str = "model") -> DataFrame:
-    """Stratified folds; every fold is scored by a model that has not seen it, and all are measured together."""
+    """Stratified folds; every fold is scored by a model that has not seen it, and all are measured together.
+
+    ``estimator`` is a classifier, fitted with balanced class weights, or a function from training rows to a model.
+    """
     folded = write_stage(sp.kfold(data, keys, k, seed, within=["label"]), scratch_path(data.sparkSession, "folds"))
 
     def scored(fold: int) -> DataFrame:
-        model = fit(estimator, folded.filter(F.col("fold") != fold))
+        rows = folded.filter(F.col("fold") != fold)
+        model = estimator(rows) if callable(estimator) else fit(estimator, rows)
         return with_score(model, folded.filter(F.col("fold") == fold)).select("fold", "label", "score")
 
     parts = together([lambda fold=fold: scored(fold) for fold in range(1, k + 1)])
@@ -151,8 +155,8 @@ def grid_search(train: DataFrame, estimator, grid: dict[str, list], keys: list[s
 
     def areas(params: dict, rounds: list[int], fold: int) -> list[tuple[tuple, float]]:
         held = folded.filter(F.col("fold") == fold)
-        model = estimator.copy({estimator.getParam(name): value for name, value in params.items()}).fit(
-            folded.filter(F.col("fold") != fold))
+        chosen = estimator.copy({estimator.getParam(name): value for name, value in params.items()})
+        model = ft.without_summary(chosen.fit(folded.filter(F.col("fold") != fold)))
         models = [({**params, "maxIter": count}, first_trees(model, count)) for count in rounds] or [(params, model)]
         return [(tuple(sorted(own.items())), measure.evaluate(one.transform(held))) for own, one in models]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -104,3 +105,14 @@ def split_by_year(df: DataFrame, cut: int = fv.TRAIN_YEAR_MAX, year: str = "year
 
 def all_known(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def without_summary(model):
+    """A classifier whose training summary is dropped, for scoring.
+
+    The summary refers to the session, and the model travels to the executors with it. A session that has counted rows
+    with an ``Observation`` cannot travel, so scoring would fail there.
+    """
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model

@@ -173,13 +173,14 @@ def cross_validate_gamma(data: Prepared, keys: list[str], k: int = 5, seed: int
     return mt.regression_metrics(scored, ["fold"], "label", "predicted").select("fold", "rmse", "mae")
 
 
-def fit_balanced_logit(train: DataFrame, max_iter: int = 1000):
+def fit_balanced_logit(train: DataFrame, max_iter: int = 1000, tol: float = 1e-10):
     """Class-balanced logistic regression with an L2 penalty of one, on standardised features."""
     weighted = ft.with_balanced_weight(train, "label").persist()
     try:
         total = weighted.agg(F.sum("weight")).first()[0]
-        return LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", maxIter=max_iter,
-                                  regParam=1.0 / total, elasticNetParam=0.0, standardization=False).fit(weighted)
+        logit = LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", maxIter=max_iter, tol=tol,
+                                   regParam=1.0 / total, elasticNetParam=0.0, standardization=False)
+        return ft.without_summary(logit.fit(weighted))
     finally:
         weighted.unpersist()
 

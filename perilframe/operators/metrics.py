@@ -198,8 +198,8 @@ def fold_metrics(df: DataFrame, fold: str, y: str, score: str, threshold: float
     return ranks.join(at, fold).join(spread, fold).join(middle, fold)
 
 
-def mean_and_std(folds: DataFrame, metrics: list[str]) -> DataFrame:
-    return folds.agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics], *[F.stddev_samp(m).alias(f"std_{m}") for m in metrics])
+def mean_and_std(folds: DataFrame, metrics: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    return folds.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics], *[F.stddev_samp(m).alias(f"std_{m}") for m in metrics])
 
 
 def with_summary_row(folds: DataFrame, fold: str, formatted: list[str], averaged: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ Every query runs at the full sizes: tree numbers and depths, grids, folds, test
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -88,15 +90,15 @@ def _(t: Tables):
 
 
 #: SQL of every feature of the severity fits, in the units of the fit.
-_VALUES = {**{f'"{c}"': f'CAST("{c}" AS DOUBLE) / {fv.UNIT_DIVISORS.get(c, 1.0)}' for c in fv.SEVERITY_FEATURES},
+SEVERITY_SQL = {**{f'"{c}"': f'CAST("{c}" AS DOUBLE) / {fv.UNIT_DIVISORS.get(c, 1.0)}' for c in fv.SEVERITY_FEATURES},
            **{f'"fema_region_{r}"': f"CASE WHEN fema_region = {r} THEN 1.0 ELSE 0.0 END" for r in fv.REGIONS}}
 
 
 @register("glm_gamma_score_equations", with_views(f"""SELECT feature, n_rows, {rnd('value', 4)} AS mean_fitted FROM (UNPIVOT
- (SELECT count(*) AS n_rows, CAST(1 AS DOUBLE) AS intercept, {', '.join(f'CASE WHEN max({c}) > min({c}) THEN avg({c}) END AS {c}' for c in _VALUES)} FROM tr)
+ (SELECT count(*) AS n_rows, CAST(1 AS DOUBLE) AS intercept, {', '.join(f'CASE WHEN max({c}) > min({c}) THEN avg({c}) END AS {c}' for c in SEVERITY_SQL)} FROM tr)
  ON COLUMNS(* EXCLUDE (n_rows)) INTO NAME feature VALUE value)""", "pf",
-          extra=f"""tr AS (SELECT * FROM (SELECT {', '.join(f'{v} AS {c}' for c, v in _VALUES.items())} FROM pf WHERE avg_claim_severity > 0 AND year <= {CUT})
- WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _VALUES)})"""), digits=4)
+          extra=f"""tr AS (SELECT * FROM (SELECT {', '.join(f'{v} AS {c}' for c, v in SEVERITY_SQL.items())} FROM pf WHERE avg_claim_severity > 0 AND year <= {CUT})
+ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SEVERITY_SQL)})"""), digits=4)
 def _(t: Tables):
     """Mean of x * y / fitted for every feature x of the Gamma fit. Where the likelihood is greatest it equals the mean of x, which SQL computes."""
     data = severity(t)
@@ -146,12 +148,16 @@ def _(t: Tables):
     return found[0].unionByName(found[1])
 
 
+def risk_folds(t: Tables):
+    """Folds of both classifiers, told apart by ``model``."""
+    kinds = (("Gradient Boosting", cl.boosting()), ("Random Forest", cl.forest()))
+    return t.stage("risk_folds", lambda: reduce(lambda a, b: a.unionByName(b), [
+        cl.cross_validate(risk(t).train, estimator, pn.KEY, name=name) for name, estimator in kinds]))
+
+
 @register("cross_validate_clf", digits=6)
 def _(t: Tables):
-    kinds = (("Gradient Boosting", cl.boosting()), ("Random Forest", cl.forest()))
-    found = [mt.mean_and_std(cl.cross_validate(risk(t).train, estimator, pn.KEY, name=name), rb.MEASURED).withColumn("model", F.lit(name))
-             for name, estimator in kinds]
-    return found[0].unionByName(found[1])
+    return mt.mean_and_std(risk_folds(t), rb.MEASURED, ("model",))
 
 
 @register("feature_importance", digits=6)

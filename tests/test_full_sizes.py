@@ -26,7 +26,7 @@ def called_with(monkeypatch, owner, name, query):
         seen.append(bound.arguments)
         raise Stop
 
-    tables = SimpleNamespace(panel_features=lambda: None, once=lambda name, build: build())
+    tables = SimpleNamespace(panel_features=lambda: None, once=lambda name, build: build(), stage=lambda name, build: build())
     monkeypatch.setattr(owner, name, record)
     monkeypatch.setattr(bm, "labelled", lambda t: None)
     monkeypatch.setattr(bm, "risk", lambda t: SimpleNamespace(train=None))
