@@ -160,3 +160,19 @@ def test_jobs_run_together_in_order(spark):
     with pytest.raises(ZeroDivisionError):
         together([lambda: 1, lambda: 1 // 0, lambda: 2])
     assert sized(spark.range(100).repartition(6), 40).rdd.getNumPartitions() == 3
+
+
+def test_a_fit_has_no_more_tasks_than_cores(spark):
+    from perilframe.models import together as tg
+
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(4000).repartition(5 * cores)
+    alone = tg.sized(many, 10)
+    assert alone.rdd.getNumPartitions() == cores and alone.count() == 4000
+    # They hold about the same number of rows, wherever these lay before.
+    sizes = tg.sized(spark.range(4000).coalesce(1), 10).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == cores and max(sizes) - min(sizes) <= cores
+    # Fits under way together share the cores.
+    beside = tg.together([lambda: tg.sized(many, 10).rdd.getNumPartitions()] * 8)
+    assert beside == [-(-2 * cores // 8)] * 8
+    assert tg.sized(many, 4000).rdd.getNumPartitions() == 1
