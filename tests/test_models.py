@@ -176,3 +176,16 @@ def test_a_fit_has_no_more_tasks_than_cores(spark):
     beside = tg.together([lambda: tg.sized(many, 10).rdd.getNumPartitions()] * 8)
     assert beside == [-(-2 * cores // 8)] * 8
     assert tg.sized(many, 4000).rdd.getNumPartitions() == 1
+
+
+def test_forests_remember_nodes_where_memory_allows(rows, monkeypatch):
+    data = ft.with_balanced_weight(rows, "label").select("label", "weight", "features").coalesce(1).cache()
+    small = cl.forest(cl.TreeSettings(trees=12, depth=6, subsample=1.0))
+    kept = cl.remembering(small, data)
+    assert kept.getCacheNodeIds() and kept.getCheckpointInterval() == -1 and not small.getCacheNodeIds()
+    assert kept.fit(data).toDebugString.split("\n")[1:] == small.fit(data).toDebugString.split("\n")[1:]
+    assert cl.remembering(cl.boosting(), data).getCacheNodeIds() is False
+    # Twelve trees of 1,500 rows take 144,000 bytes for two levels.
+    monkeypatch.setattr(cl, "storage_memory", lambda spark: 2 * 144_000)
+    assert cl.remembering(small, data).getCacheNodeIds()
+    assert not cl.remembering(small, data, fits=2).getCacheNodeIds() and not cl.remembering(small, data, trees=13).getCacheNodeIds()
