@@ -93,3 +93,15 @@ def test_composite_target_uses_training_years_only(spark):
     assert (limits.severity_threshold, limits.disaster_threshold, limits.claims_paid_threshold) == (5.5, 5.25, 525.0)
     got = {r.county_fips: (r.risk_signal_count, r.uninsurability_risk) for r in tg.composite_target(panel, train_year_max=2005).collect()}
     assert got["c5"] == (0, 0) and got["c6"] == (3, 1) and got["c11"] == (3, 1)
+
+
+def test_entity_years_shuffle_each_event_once(spark):
+    rows = spark.createDataFrame([("01001", "01", "A", 2000, d, c, False, float(d)) for d, c in [(1, "Flood"), (1, "Fire"), (2, "Fire"), (3, None)]],
+                                 "county_fips string, fipsStateCode string, state string, declaration_year int, disasterNumber long, disaster_category string, "
+                                 "is_statewide boolean, incident_duration_days double")
+    for made in (ev.entity_year(rows), ev.entity_year_with_types(rows)):
+        # A second distinct count would make one copy of every row for each.
+        assert "Expand" not in made._jdf.queryExecution().executedPlan().toString()
+        row = made.first()
+        assert (row["total_disasters"], row["disaster_types"], row["max_incident_duration"]) == (3, 2, 3.0)
+        assert dict(made.dtypes)["disaster_types"] == "bigint"
