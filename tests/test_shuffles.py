@@ -2,6 +2,7 @@
 
 import glob
 import re
+import threading
 from datetime import date
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from perilframe.operators import events as ev
 from perilframe.operators import insurance as ins
 from perilframe.operators import panel as pn
+from perilframe.plans import bind_models as bm
 from perilframe.plans.tables import Tables
 from perilframe.session import joins_by_part_of_key
 from perilframe.sources.sinks import write_stage
@@ -111,3 +113,27 @@ def test_stage_tables_are_packed_and_read_back(spark, tmp_path):
     assert glob.glob(f"{tmp_path}/a/*.zstd.parquet") and kept.count() == 5
     write_stage(spark.range(5), f"{tmp_path}/b", compression="gzip")
     assert glob.glob(f"{tmp_path}/b/*.gz.parquet")
+
+
+class _Stages:
+    def once(self, name, build):
+        return build()
+
+    stage = once
+
+
+def test_both_classifiers_are_fitted_at_once(spark, monkeypatch):
+    class Data:
+        train = None
+
+    met = threading.Barrier(2, timeout=20)  # breaks if one waits for the other to end
+    monkeypatch.setattr(bm, "risk", lambda t: Data)
+    monkeypatch.setattr(bm.cl, "fit", lambda estimator, train: met.wait() >= 0 and type(estimator).__name__)
+    assert bm.both_classifiers(_Stages()) == ["GBTClassifier", "RandomForestClassifier"]
+
+    def folds(data, estimator, keys, name):
+        met.wait()
+        return spark.createDataFrame([(name,)], "model string")
+
+    monkeypatch.setattr(bm.cl, "cross_validate", folds)
+    assert [r["model"] for r in bm.risk_folds(_Stages()).collect()] == ["Gradient Boosting", "Random Forest"]
