@@ -110,8 +110,9 @@ class Tables:
             "l_orderkey", "l_partkey", "l_extendedprice", "l_tax", "l_discount", "l_quantity", F.year("l_shipdate").alias("yearOfLoss"),
             ((F.col("l_linenumber") == 7) & (F.col("l_tax") == 0)).alias("unreadable"),
             ((F.col("l_linestatus") == "F") & (F.col("l_quantity") < 3)).alias("unplaced"), (F.col("l_returnflag") == "R").alias("primary"))
-        lines = (asked.join(self.customer_orders(), F.col("l_orderkey") == F.col("o_orderkey"))
-                 .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")))
+        # Parts come first: lines of one order are then together last, so that claims of one county are combined before they are dealt by it.
+        lines = (asked.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+                 .join(self.customer_orders(), F.col("l_orderkey") == F.col("o_orderkey")))
         price = F.col("l_extendedprice")
         covered = F.col("l_quantity") >= 2
         return lines.select(

@@ -108,6 +108,30 @@ def test_lines_are_shuffled_without_text(spark, tmp_path, no_broadcast):
     assert sorted(helped, key=str) == sorted([(2.0, True, 1.0), (5.0, False, 0.0), (None, False, 0.0)], key=str)
 
 
+def test_claims_of_an_order_are_together_before_they_are_dealt_by_county(spark, tmp_path, no_broadcast):
+    tables = {
+        "nation": ([(0, "N")], "n_nationkey int, n_name string"),
+        "customer": ([(7, 0, "M")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "part": ([(3, 10.0), (4, 20.0)], "p_partkey long, p_retailprice double"),
+        "orders": ([(8, 7, "F", 1.0, date(1996, 1, 1)), (9, None, "F", 1.0, date(1996, 1, 1))],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date"),
+        # Lines without a known part, order or customer are no claims.
+        "lineitem": ([(order, part, n, 2.0 + n, 100.0, 0.0, 0.0, "R", "O", date(1996, 5, n))
+                      for n, (order, part) in enumerate([(8, 3), (8, 4), (8, 4), (9, 3), (8, 5), (None, 3), (8, None)], 1)],
+                     "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                     "l_returnflag string, l_linestatus string, l_shipdate date"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    claims = Tables(spark, str(tmp_path)).raw_claims()
+    lines = [keys for keys in dealt_by(claims) if keys.startswith("l_")]
+    assert lines == ["l_partkey", "l_orderkey"]
+    figures = ins.claims_entity_year(claims, 1995, 2001).select("county_fips", "year", "claim_count", "total_claims_paid", "avg_coverage").collect()
+    assert [tuple(r)[:3] for r in figures] == [("01007", 1996, 3)]
+    assert figures[0]["total_claims_paid"] == pytest.approx(3 * 73.291173)
+    assert figures[0]["avg_coverage"] == pytest.approx((3 * 10.0 + 4 * 20.0 + 5 * 20.0) * 1.09371373 / 3 + 500)
+
+
 def test_stage_tables_are_packed_and_read_back(spark, tmp_path):
     kept = write_stage(spark.range(5), f"{tmp_path}/a")
     assert glob.glob(f"{tmp_path}/a/*.zstd.parquet") and kept.count() == 5
