@@ -76,6 +76,31 @@ def test_predictions_are_handed_on_and_not_made_again(rows, monkeypatch):
     assert len(lengths) == 6 and len(set(lengths)) == 1
 
 
+@pytest.mark.parametrize("settings", [cl.TreeSettings(trees=3, depth=3, subsample=1.0), cl.TreeSettings(trees=60, depth=8, subsample=1.0),
+                                      cl.TreeSettings(trees=6, depth=6, subsample=0.7, subset="log2")])
+def test_forest_has_the_trees_of_sparks_fit(rows, settings):
+    one, estimator = rows.coalesce(1).cache(), cl.forest(settings)
+    want, got = estimator.fit(one), tf.fit_forest(estimator, one)
+    assert lines(got) == lines(want) and np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    assert got.numClasses == 2 and got.getNumTrees == settings.trees
+
+
+def test_forest_over_several_partitions_takes_the_rows_that_sparks_fit_takes(rows):
+    many, estimator = rows.repartition(4).cache(), cl.forest(cl.TreeSettings(trees=10, depth=1, subsample=1.0))
+    assert lines(tf.fit_forest(estimator, many)) == lines(estimator.fit(many))
+
+
+def test_nodes_wait_where_memory_is_short(rows):
+    one = rows.coalesce(1).cache()
+    estimator = cl.forest(cl.TreeSettings(trees=40, depth=9, min_leaf=3, subsample=1.0)).setMaxMemoryInMB(1)
+    assert lines(tf.fit_forest(estimator, one)) == lines(estimator.fit(one))
+
+
+def test_large_forests_are_sparks(rows, monkeypatch):
+    monkeypatch.setattr(tf, "_drawn", None)  # would fail if it were needed
+    assert tf.fit_forest(cl.forest(cl.TreeSettings(trees=2, depth=2, subsample=1.0)), rows, most=2999).getNumTrees == 2
+
+
 def test_a_boosting_needs_few_jobs(spark, rows):
     context = spark.sparkContext
     context.setJobGroup("few jobs", "")
